@@ -122,7 +122,7 @@ class Shard:
 
     def flush(self, last: bool) -> None:
         ids = np.frombuffer(b"".join(self.rest), self.dtype)
-        n = -(-len(ids) // self.length) if last else len(ids) // self.length
+        n = -(-len(ids) // self.length) if last else len(ids) // (BATCH * self.length) * BATCH
         whole, self.rest = ids[: n * self.length], [ids[n * self.length :].tobytes()]
         self.held = len(ids) - len(whole)
         self.n_tokens += len(whole)
