@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthoplan.llm import arrow_tokens, bpe, mixing, scratch
+from orthoplan.llm import arrow_tokens, bpe, mixing, near_dedup, scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=75)
+
+
 def op5_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch.new_path(spark, "tokens")
     manifest = arrow_tokens.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
@@ -56,10 +60,35 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM r
 """
 
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+         ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) END) AS sh
+  FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b USING (sh) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)
+), r AS (
+  SELECT doc_id, doc_id AS m FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.m
+), c AS (
+  SELECT doc_id, min(m) AS component_id FROM r GROUP BY doc_id
+)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id,
+       coalesce(c.component_id, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.doc_id = w.doc_id
+"""
+
 QUERIES = {
+    "op3_chosen_path_dedup": op3_chosen_path_dedup,
     "op5_arrow_tokens": op5_arrow_tokens,
     "op9_systematic_mix": op9_systematic_mix,
     "op10_tiktoken_bpe": op10_tiktoken_bpe,
 }
 
-ORACLE_SQL = {"op9_systematic_mix": OP9_SQL}
+ORACLE_SQL = {"op3_chosen_path_dedup": OP3_SQL, "op9_systematic_mix": OP9_SQL}
