@@ -16,6 +16,7 @@ import functools
 import re
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,9 @@ MANIFEST = "shard int, path string, index_path string, n_docs long, n_tokens lon
 #: Sequences of a record batch.
 BATCH = 256
 #: Entries that a worker's word cache holds before it starts again.
-CACHE = 400_000
+CACHE = 200_000
+#: Characters that are cut into words at a time.
+PORTION = 1 << 19
 #: A blank after white space: there the blank may belong to the white space before it.
 JOINED_BLANKS = re.compile(r"\s ")
 
@@ -68,7 +71,18 @@ class Encoder:
             if w not in self.pieces:
                 self.pieces[w] = self.bytes_of(" " + w)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text, in order; so many texts at a time that their words fit in little memory."""
+        portion, size = [], 0
+        for t in texts:
+            portion.append(t)
+            size += len(t)
+            if size >= PORTION:
+                yield from self.portion(portion)
+                portion, size = [], 0
+        yield from self.portion(portion)
+
+    def portion(self, texts: list[str]) -> list[bytes]:
         if len(self.pieces) > CACHE:
             self.pieces.clear()
         cut = [None if JOINED_BLANKS.search(t) else t.split(" ") for t in texts]
