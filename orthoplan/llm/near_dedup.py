@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from orthoplan.llm import scratch
 from orthoplan.llm.components import components
+from orthoplan.llm.runs import groups
 from orthoplan.llm.shingles import mixed, shared, shingles
 
 #: Minwise coordinates of a sketch.
@@ -101,26 +102,6 @@ def children(nodes: DataFrame, level: int, threshold: float, seed: int) -> DataF
     return nodes.mapInArrow(rows, "node long, id long").distinct() if level else nodes.mapInArrow(rows, "node long, id long")
 
 
-def groups(batches, key: list[str]):
-    """Arrow batches in the order of key, cut anew so that no group is split."""
-    held = None
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        t = t if held is None else pa.concat_tables([held, t])
-        k = np.column_stack([t.column(c).to_numpy() for c in key])
-        change = np.flatnonzero((k[1:] != k[:-1]).any(axis=1))
-        if not len(change):
-            held = t
-            continue
-        cut = int(change[-1]) + 1
-        held = t.slice(cut)
-        yield t.slice(0, cut), np.concatenate([[0], change + 1])
-    if held is not None and len(held):
-        k = np.column_stack([held.column(c).to_numpy() for c in key])
-        change = np.flatnonzero((k[1:] != k[:-1]).any(axis=1))
-        yield held, np.concatenate([[0], change + 1, [len(held)]])
-
-
 def bytes_matrix(t: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
 

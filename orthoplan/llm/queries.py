@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthoplan.llm import arrow_tokens, bpe, mixing, near_dedup, scratch
+from orthoplan.llm import arrow_tokens, bpe, mixing, near_dedup, scratch, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op5_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_tokens.documents(manifest)
 
 
+def op8_sorted_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op9_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=[1, 2, 3], most=3.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -84,11 +88,32 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, w.doc_
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.doc_id = w.doc_id
 """
 
+OP8_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+    AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0
+), u AS (
+  SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98
+), r AS (
+  SELECT vec_id, vec_id AS m FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.m
+), c AS (
+  SELECT vec_id, min(m) AS component_id FROM r GROUP BY vec_id
+), k AS (
+  SELECT a, count(*) AS n FROM l GROUP BY a
+)
+SELECT c.vec_id, coalesce(k.n, 0) AS n_links, c.component_id, c.component_id = c.vec_id AS kept FROM c LEFT JOIN k ON k.a = c.vec_id
+"""
+
 QUERIES = {
     "op3_chosen_path_dedup": op3_chosen_path_dedup,
     "op5_arrow_tokens": op5_arrow_tokens,
+    "op8_sorted_projection_dedup": op8_sorted_projection_dedup,
     "op9_systematic_mix": op9_systematic_mix,
     "op10_tiktoken_bpe": op10_tiktoken_bpe,
 }
 
-ORACLE_SQL = {"op3_chosen_path_dedup": OP3_SQL, "op9_systematic_mix": OP9_SQL}
+ORACLE_SQL = {"op3_chosen_path_dedup": OP3_SQL, "op8_sorted_projection_dedup": OP8_SQL, "op9_systematic_mix": OP9_SQL}
