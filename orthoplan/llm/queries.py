@@ -6,17 +6,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthoplan.llm import arrow_tokens, bpe, mixing, near_dedup, scratch, vector_dedup
+from orthoplan.llm import arrow_tokens, bpe, language_id, mixing, near_dedup, quality_knn, scratch, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def part_of(column: str, parts: int):
+    """The part, by crc32 of the id as text, that a row belongs to."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % parts
+
+
+def op2_family_svm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(part_of("doc_id", 3) == 1, F.lit(False)))
+    model = language_id.learn(docs.filter("NOT held_out").select("doc_id", "text", "lang"))
+    return language_id.identified(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 def op3_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=75)
 
 
+def op4_latent_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").filter(F.coalesce(part_of("doc_id", 4) != 2, F.lit(False)))
+    scored = quality_knn.scored(docs, quality_knn.learn(docs, labels))
+    held = F.coalesce(part_of("doc_id", 4) == 2, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch.new_path(spark, "tokens")
     manifest = arrow_tokens.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
@@ -109,7 +128,9 @@ SELECT c.vec_id, coalesce(k.n, 0) AS n_links, c.component_id, c.component_id = c
 """
 
 QUERIES = {
+    "op2_family_svm_language": op2_family_svm_language,
     "op3_chosen_path_dedup": op3_chosen_path_dedup,
+    "op4_latent_knn_quality": op4_latent_knn_quality,
     "op5_arrow_tokens": op5_arrow_tokens,
     "op8_sorted_projection_dedup": op8_sorted_projection_dedup,
     "op9_systematic_mix": op9_systematic_mix,
