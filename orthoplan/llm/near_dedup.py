@@ -37,9 +37,9 @@ LEVELS = 6
 #: Nodes up to this size are compared exhaustively at any level.
 SMALL = 32
 #: Rows of a chunk of a large node.
-CHUNK = 1024
+CHUNK = 512
 #: Standard deviations that a sketch's estimate may lie under the threshold.
-SLACK = 5.0
+SLACK = 4.0
 _SEEDS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
 
@@ -137,44 +137,94 @@ def to_pivots(members: DataFrame, least: int) -> DataFrame:
     return members.repartition("node", "chunk").sortWithinPartitions("node", "chunk", "id").mapInArrow(rows, PAIRS).distinct()
 
 
-def exhaustive(members: DataFrame, least: int) -> DataFrame:
-    """members(node, c1, c2, chunk, id, component, sketch): all alike pairs of a group (node, c1, c2) from different components;
-    where c1 < c2, between the two chunks only."""
+GROUP = ["node", "c1", "c2"]
+MEMBERS = "node long, c1 int, c2 int, chunk int, id long, component long"
+
+
+def candidates(t: pa.Table, edges: np.ndarray, least: int):
+    """Places (i, j) of alike rows of one group, from different components and, in a group of two chunks, from different chunks."""
+    comp, chunk, sk = t.column("component").to_numpy(), t.column("chunk").to_numpy(), bytes_matrix(t)
+    between = t.column("c1").to_numpy() < t.column("c2").to_numpy()
+    size, last = np.repeat(np.diff(edges), np.diff(edges)), np.repeat(edges[1:], np.diff(edges))
+    place = np.arange(len(comp))
+    for d in range(1, SMALL):
+        i = np.flatnonzero((size <= SMALL) & (place + d < last))
+        if not len(i):
+            break
+        i = i[(comp[i] != comp[i + d]) & (~between[i] | (chunk[i] != chunk[i + d]))]
+        i = i[(sk[i] == sk[i + d]).sum(axis=1) >= least]
+        yield i, i + d
+    for i in np.flatnonzero((size > SMALL) & (place + 1 < last)):
+        rest = slice(i + 1, last[i])
+        j = np.flatnonzero((comp[rest] != comp[i]) & ((chunk[rest] != chunk[i]) | ~between[i])) + i + 1
+        j = j[(sk[j] == sk[i]).sum(axis=1) >= least]
+        yield np.full(len(j), i), j
+
+
+def with_candidates(members: DataFrame, least: int) -> DataFrame:
+    """The rows of a group (node, c1, c2) that have a candidate in it: sketches only, and no pair leaves the task."""
 
     def rows(batches):
-        for t, edges in groups(batches, ["node", "c1", "c2"]):
-            ids, comp, chunk, sk = t.column("id").to_numpy(), t.column("component").to_numpy(), t.column("chunk").to_numpy(), bytes_matrix(t)
-            between = t.column("c1").to_numpy() < t.column("c2").to_numpy()
-            size = np.repeat(np.diff(edges), np.diff(edges))
-            last = np.repeat(edges[1:], np.diff(edges))
-            place = np.arange(len(ids))
-            small = size <= SMALL
-            for d in range(1, SMALL):
-                i = np.flatnonzero(small & (place + d < last))
-                if not len(i):
-                    break
-                i = i[(comp[i] != comp[i + d]) & (~between[i] | (chunk[i] != chunk[i + d]))]
-                i = i[(sk[i] == sk[i + d]).sum(axis=1) >= least]
-                if len(i):
-                    yield pair_batch(ids[i], ids[i + d])
-            for lo, hi in zip(edges[:-1], edges[1:]):
-                if hi - lo > SMALL:
-                    for i in range(lo, hi - 1):
-                        rest = slice(i + 1, hi)
-                        ok = (comp[rest] != comp[i]) & ((chunk[rest] != chunk[i]) | ~between[i])
-                        j = np.flatnonzero(ok) + i + 1
-                        j = j[(sk[j] == sk[i]).sum(axis=1) >= least]
-                        if len(j):
-                            yield pair_batch(np.full(len(j), ids[i]), ids[j])
-
-    ordered = members.repartition("node", "c1", "c2").sortWithinPartitions("node", "c1", "c2", "id")
+        for t, edges in groups(batches, GROUP):
+            some = np.zeros(len(t), bool)
+            for i, j in candidates(t, edges, least):
+                some[i] = some[j] = True
+            yield from t.select(["node", "c1", "c2", "chunk", "id", "component"]).filter(pa.array(some)).to_batches()
+
+    return members.repartition(*GROUP).sortWithinPartitions(*GROUP, "id").mapInArrow(rows, MEMBERS)
+
+
+def exhaustive(members: DataFrame, least: int, percent: int) -> DataFrame:
+    """members with sketches and full sets -> links that join components: every candidate pair of a group is confirmed on
+    the sets unless links found in the group have joined its components by then."""
+
+    def rows(batches):
+        for t, edges in groups(batches, GROUP):
+            ids, comp = t.column("id").to_numpy(), t.column("component").to_numpy()
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]
+            parent: dict[tuple[int, int], tuple[int, int]] = {}
+            group = np.searchsorted(edges, np.arange(len(ids)), side="right")
+
+            def find(i):
+                x = (group[i], comp[i])
+                while (y := parent.get(x, x)) != x:
+                    parent[x] = x = parent.get(y, y)
+                return x
+
+            out = []
+            for i, j in candidates(t, edges, least):
+                for p, q in zip(i.tolist(), j.tolist()):
+                    if (x := find(p)) != (y := find(q)):
+                        both = shared(sets[p], sets[q])
+                        if 100 * both >= percent * (len(sets[p]) + len(sets[q]) - both):
+                            parent[x] = y
+                            out.append((ids[p], ids[q]))
+            yield pair_batch([x for x, _ in out], [y for _, y in out])
+
+    ordered = members.repartition(*GROUP).sortWithinPartitions(*GROUP, "id")
     return ordered.mapInArrow(rows, PAIRS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts of the documents with the given ids; by a merge join at every size, as neither side is bounded."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint("merge"), "doc_id", "left_semi")
+
+
+def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, shingles (sorted, as bytes)."""
+
+    def rows(batches):
+        for b in batches:
+            sets = [shingles(t).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())], ["id", "shingles"])
+
+    return texts_of(docs, ids).mapInArrow(rows, "id long, shingles binary")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets have 100 x shared >= percent x united. Texts of documents in no pair stay out of the joins."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = scratch.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi"), "pair-texts")
+    texts = scratch.written(texts_of(docs, ids), "pair-texts")
 
     def rows(batches):
         seen: dict[int, np.ndarray] = {}
@@ -208,7 +258,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, seed: int = 3) -> DataFr
     small = classes.select("id", F.col("low").alias("sketch")).dropDuplicates(["id"])
 
     # classes in the first level's nodes that hold more than one
-    first = children(classes.select("id", "sketch"), 0, threshold, seed)
+    first = scratch.written(children(classes.select("id", "sketch"), 0, threshold, seed), "first-nodes")
     nodes = scratch.written(first.join(first.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), "node"), "nodes")
     chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / CHUNK)).cast("int")
     same_id = known.join(classes.select("d1", "d2", "n", "id"), ["d1", "d2", "n"]).groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("a", "b")
@@ -227,7 +277,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, seed: int = 3) -> DataFr
         n_chunks = F.ceil(F.col("size") / CHUNK).cast("int")
         ready = ready.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), n_chunks - 1)))
         ready = ready.withColumn("c1", F.least("chunk", "other")).withColumn("c2", F.greatest("chunk", "other"))
-        more.append(exhaustive(ready.join(small, "id").select("node", "c1", "c2", "chunk", "id", "component", "sketch"), least))
+        more.append(with_candidates(ready.join(small, "id").select(*GROUP, "chunk", "id", "component", "sketch"), least))
         large = here.filter(F.col("size") > SMALL)
         if last or large.isEmpty():
             break
@@ -236,9 +286,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, seed: int = 3) -> DataFr
     late = more[0]
     for m in more[1:]:
         late = late.unionByName(m)
-    late = scratch.written(late.distinct(), "pairs")
+    late = scratch.written(late, "candidates")
     if not late.isEmpty():
-        linked = scratch.written(components(linked.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(confirmed(late, docs, percent))), "components")
+        sets_of = scratch.written(full_sets(docs, late.select(F.col("id").alias("doc_id")).distinct()), "full-sets")
+        new = exhaustive(late.join(small, "id").join(sets_of, "id"), least, percent)
+        linked = scratch.written(components(linked.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(new)), "components")
 
     found = classes.select("d1", "d2", "n", "id").join(linked, "id", "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("component_id"))
     rows = sets.select("doc_id", "n", "d1", "d2")
