@@ -13,6 +13,7 @@ they come. Texts are encoded whole. An empty table gives an empty manifest. Only
 from __future__ import annotations
 
 import functools
+import json
 import re
 import uuid
 import zlib
@@ -30,20 +31,20 @@ MANIFEST = "shard int, path string, index_path string, n_docs long, n_tokens lon
 #: Sequences of a record batch.
 BATCH = 256
 #: Entries that a worker's word cache holds before it starts again.
-CACHE = 200_000
+CACHE = 400_000
 #: Characters that are cut into words at a time.
 PORTION = 1 << 19
-#: A blank after white space: there the blank may belong to the white space before it.
-JOINED_BLANKS = re.compile(r"\s ")
+#: White space other than single blanks and line feeds between visible characters.
+OTHER_SPACE = re.compile(r"\s\s|[^\S \n]")
 
 
 class Encoder:
     """Whole texts to ids (little-endian uint16 or uint32 bytes) with the tokenizers library.
 
-    The pre-tokenizer always splits before a single blank that follows a visible character. Texts are cut there, each
-    distinct piece is encoded once and kept, and the pieces' ids are joined. New pieces are encoded together, a line
-    feed between them: before a blank it is a token of its own, and the pieces themselves have no white space inside.
-    Texts with a blank after other white space are encoded in one go.
+    A byte-level pre-tokenizer always splits before a single blank, and before and after a single line feed, between
+    visible characters. Texts are cut there, each distinct piece (a blank or a line feed, and the word behind it) is
+    encoded once and kept, and the pieces' ids are joined. New pieces are encoded together, a line feed between them,
+    as that is a token of its own. Texts with other white space, and other kinds of tokenizer, are encoded in one go.
     """
 
     def __init__(self, path: str):
@@ -52,24 +53,32 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.pieces: dict[str, bytes] = {}
-
-    def bytes_of(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def learn(self, new: set[str]) -> None:
-        plain = [w for w in new if w.split() == [w]]
-        if len(self.feed) == 1 and plain:
-            ids = np.array(self.tokenizer.encode("\n".join(" " + w for w in plain), add_special_tokens=False).ids, self.dtype)
-            ends = np.flatnonzero(ids == self.feed[0])
-            if len(ends) == len(plain) - 1:
-                raw, width = ids.tobytes(), self.dtype.itemsize
-                at = [0, *((ends + 1) * width).tolist(), len(raw) + width]
-                self.pieces.update((w, raw[a : b - width]) for w, a, b in zip(plain, at, at[1:]))
-        for w in new:
-            if w not in self.pieces:
-                self.pieces[w] = self.bytes_of(" " + w)
+        parts = json.loads(self.tokenizer.to_str())
+        split = parts["pre_tokenizer"] or {}
+        feed = self.ids("\n")
+        self.by_piece = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and parts["normalizer"] is None and len(feed) == 1
+        self.feed = feed[0] if len(feed) else None
+        self.start = {"": self.ids(" ").tobytes(), "\n": feed.tobytes()}
+        self.pieces: dict[str, bytes] = dict(self.start)
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+
+    def learn(self, new: list[str]) -> None:
+        """Pieces without their blank, or with their line feed."""
+        width = self.dtype.itemsize
+        for words, joined, before in (
+            (w := [x for x in new if x[0] != "\n"], " " + "\n ".join(w), b""),
+            (w := [x for x in new if x[0] == "\n"], "".join(w)[1:], self.start["\n"]),
+        ):
+            if not words:
+                continue
+            ids = self.ids(joined)
+            ends = (np.flatnonzero(ids == self.feed) * width).tolist()
+            if len(ends) != len(words) - 1:
+                raise ValueError("the tokenizer joins line feeds with what stands beside them")
+            raw = ids.tobytes()
+            self.pieces.update((x, before + raw[a:b]) for x, a, b in zip(words, [0, *(e + width for e in ends)], [*ends, len(raw)]))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, in order; so many texts at a time that their words fit in little memory."""
@@ -84,24 +93,17 @@ class Encoder:
 
     def portion(self, texts: list[str]) -> list[bytes]:
         if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        cut = [None if JOINED_BLANKS.search(t) else t.split(" ") for t in texts]
-        new = set()
-        for words in cut:
-            if words:
-                new.update(words[1:])
+            self.pieces = dict(self.start)
+        cut = []
+        for t in texts:
+            t = "\n" + t
+            cut.append(t.replace("\n", " \n").split(" ")[1:] if self.by_piece and not OTHER_SPACE.search(t) else None)
+        new = set().union(*filter(None, cut))
         new.difference_update(self.pieces)
-        new.discard("")
         if new:
-            self.learn(new)
-        get = self.pieces.__getitem__
-        out = []
-        for t, words in zip(texts, cut):
-            if words is None or words[-1] == "" or words[0] == "":
-                out.append(self.bytes_of(t))
-            else:
-                out.append(self.bytes_of(words[0]) + b"".join(map(get, words[1:])))
-        return out
+            self.learn(list(new))
+        get, width = self.pieces.__getitem__, self.dtype.itemsize
+        return [self.ids(t).tobytes() if words is None else b"".join(map(get, words))[width:] for t, words in zip(texts, cut)]
 
 
 @functools.lru_cache(maxsize=2)
