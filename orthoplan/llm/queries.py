@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthoplan.llm import arrow_tokens, bpe, language_id, mixing, near_dedup, quality_knn, scratch, vector_dedup
+from orthoplan.llm import arrow_tokens, bpe, language_id, line_templates, mixing, near_dedup, quality_knn, scratch, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def part_of(column: str, parts: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
 
 
+def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.deduplicated(docs, min_docs=3, min_tokens=3).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op2_family_svm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(part_of("doc_id", 3) == 1, F.lit(False)))
     model = language_id.learn(docs.filter("NOT held_out").select("doc_id", "text", "lang"))
@@ -127,7 +132,45 @@ WITH RECURSIVE v AS (
 SELECT c.vec_id, coalesce(k.n, 0) AS n_links, c.component_id, c.component_id = c.vec_id AS kept FROM c LEFT JOIN k ON k.a = c.vec_id
 """
 
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
+), u AS (
+  SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS l FROM d
+), f AS (
+  SELECT doc_id, i, regexp_replace(trim(regexp_replace(l, '[\x09-\x0D ]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM u
+), t AS (
+  SELECT *, string_split(m, ' ') AS ts FROM f
+), g AS (
+  SELECT doc_id, i, m, ts, len(ts)::VARCHAR || ' ' || array_to_string(ts[1:3], ' ') AS leaf FROM t WHERE len(ts) >= 3
+), forms AS (
+  SELECT m, any_value(ts) AS ts, any_value(leaf) AS leaf, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM g GROUP BY m
+), pending AS (
+  SELECT * FROM forms WHERE leaf IN (SELECT leaf FROM forms GROUP BY leaf HAVING count(*) > 1 AND sum(docs) >= 3)
+), tokens AS (
+  SELECT m, leaf, docs, unnest(range(1, len(ts) + 1)) AS pos, unnest(ts) AS token FROM pending
+), counted AS (
+  SELECT *, sum(docs) OVER (PARTITION BY leaf, pos, token) AS c FROM tokens
+), own AS (
+  SELECT m, leaf, string_agg(CASE WHEN c >= 3 THEN token ELSE chr(1) END, ' ' ORDER BY pos) AS template, count(*) FILTER (c >= 3) / count(*)::DOUBLE AS share
+  FROM counted GROUP BY m, leaf
+), named AS (
+  SELECT forms.m, docs, first, CASE WHEN share >= 0.7 THEN 't ' || own.leaf || chr(2) || template ELSE 'm ' || forms.m END AS tid
+  FROM forms LEFT JOIN own ON own.m = forms.m
+), grouped AS (
+  SELECT tid, sum(docs) AS docs, min(first) AS first FROM named GROUP BY tid
+), recurring AS (
+  SELECT m, grouped.first FROM named JOIN grouped USING (tid) WHERE grouped.docs >= 3
+), drops AS (
+  SELECT g.doc_id, list(g.i) AS dropped FROM g JOIN recurring r ON r.m = g.m WHERE g.doc_id <> r.first GROUP BY g.doc_id
+)
+SELECT d.doc_id, len(ls) AS n_lines, coalesce(len(dropped), 0) AS n_dropped,
+       CASE WHEN dropped IS NULL THEN text ELSE array_to_string(list_filter(ls, lambda l, i: NOT list_contains(dropped, i)), chr(10)) END AS text
+FROM d LEFT JOIN drops USING (doc_id)
+"""
+
 QUERIES = {
+    "op1_line_templates": op1_line_templates,
     "op2_family_svm_language": op2_family_svm_language,
     "op3_chosen_path_dedup": op3_chosen_path_dedup,
     "op4_latent_knn_quality": op4_latent_knn_quality,
@@ -137,4 +180,4 @@ QUERIES = {
     "op10_tiktoken_bpe": op10_tiktoken_bpe,
 }
 
-ORACLE_SQL = {"op3_chosen_path_dedup": OP3_SQL, "op8_sorted_projection_dedup": OP8_SQL, "op9_systematic_mix": OP9_SQL}
+ORACLE_SQL = {"op1_line_templates": OP1_SQL, "op3_chosen_path_dedup": OP3_SQL, "op8_sorted_projection_dedup": OP8_SQL, "op9_systematic_mix": OP9_SQL}
