@@ -46,7 +46,7 @@ def corpus():
         if i % 3 == 0:
             lines.insert(rng.randrange(len(lines) + 1), rng.choice(shared))
         if i % 5 == 0:  # one template, a free word and a number in it
-            lines.append(f"user {word()} logged in from host {rng.randrange(999)} at the usual place today")
+            lines.append(f"user logged in as {word()} from host {rng.randrange(999)} at the usual place today")
         if i % 7 == 0:
             lines += [lines[0], "too short"]
         rows.append((i, "\n".join(lines)))
