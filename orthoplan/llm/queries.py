@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthoplan.llm import arrow_tokens, bpe, language_id, line_templates, mixing, near_dedup, quality_knn, scratch, vector_dedup
+from orthoplan.llm import arrow_tokens, bpe, iblt, language_id, line_templates, mixing, near_dedup, quality_knn, scratch, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op5_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_tokens.documents(manifest)
 
 
+def op7_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_sorted_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
@@ -175,6 +179,7 @@ QUERIES = {
     "op3_chosen_path_dedup": op3_chosen_path_dedup,
     "op4_latent_knn_quality": op4_latent_knn_quality,
     "op5_arrow_tokens": op5_arrow_tokens,
+    "op7_iblt_fingerprints": op7_iblt_fingerprints,
     "op8_sorted_projection_dedup": op8_sorted_projection_dedup,
     "op9_systematic_mix": op9_systematic_mix,
     "op10_tiktoken_bpe": op10_tiktoken_bpe,

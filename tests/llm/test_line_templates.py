@@ -71,7 +71,7 @@ def test_null_ids_repeated_rows_and_empty_table(spark):
     line = "this line is in every document"
     rows = [(None, line, None, None), (9, line, None, None), (9, line, None, None), (4, line + "\nown words", None, None), (4, "other", None, None)]
     got = line_templates.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert sorted((str(r.doc_id), r.text) for r in got) == [("4", line + "\nown words"), ("4", "other"), ("9", ""), ("9", ""), ("None", "")]
+    assert sorted((str(r.doc_id), r.text) for r in got) == [("4", "other"), ("4", line + "\nown words"), ("9", ""), ("9", ""), ("None", "")]
     assert line_templates.deduplicated(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
