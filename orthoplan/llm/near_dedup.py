@@ -4,10 +4,10 @@ Documents with equal shingle sets are one class from the start and only its smal
 with all classes in one node. A node picks minwise coordinates at random, each with probability 1 / (threshold x number
 of coordinates), and sends a class to a child for each picked coordinate, by the class's value there: a pair of the
 threshold's similarity is expected in one common child, so it survives a chain of levels, while unlike pairs part.
-Small nodes are compared exhaustively; a large node is first linked through pivots (a node's smallest id, for each chunk
-of it), and only nodes that still hold several components branch on. What is left large at the last level is compared
-exhaustively, chunk by chunk. Independent trees repeat this to reach the target recall. Sketches only choose what is
-compared; every link is confirmed on the full shingle sets of the two texts.
+Every node is first linked through pivots (its smallest id, for each chunk of it). Of the nodes that still hold several
+components, small ones are compared exhaustively, chunk by chunk, and large ones branch on; what is left at the last
+level is compared exhaustively, whatever its size. Independent trees repeat this to reach the target recall. Sketches
+only choose what is compared; every link is confirmed on the full shingle sets of the two texts.
 
 Skew: rows of a large node are spread over chunks, groups of equal sets are one row, and joins back from a group to its
 rows are plain joins that adaptive execution splits. Pairs within a group are not listed: once connected, members are
@@ -35,9 +35,11 @@ COORDINATES = 128
 TREES = 8
 LEVELS = 6
 #: Nodes up to this size are compared exhaustively at any level.
-SMALL = 32
-#: Rows of a chunk of a large node.
-CHUNK = 512
+SMALL = 4096
+#: Rows of a chunk of a node, about; two chunks at a time are held in memory.
+CHUNK = 1024
+#: Groups up to this size are compared all at once, larger ones row by row.
+TINY = 32
 #: Standard deviations that a sketch's estimate may lie under the threshold.
 SLACK = 4.0
 _SEEDS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
@@ -70,42 +72,63 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n long, d1 long, d2 long, sketch binary, low binary")
 
 
-def children(nodes: DataFrame, level: int, threshold: float, seed: int) -> DataFrame:
-    """nodes(id, node, sketch) -> node, id of the next level; at level 0 each row stands for the root of every tree."""
-    limit = np.uint64(int(2**64 / (threshold * COORDINATES)))
+def roots_of(seed: int) -> list[int]:
+    return mixed(np.arange(TREES, dtype=np.uint64) + np.uint64(seed << 32)).tolist()
+
+
+def picks(node: int, level: int, threshold: float) -> np.ndarray:
+    """The coordinates that a node branches on."""
     coordinate = mixed(np.arange(COORDINATES, dtype=np.uint64) + np.uint64(1 + 1000 * level))
+    return np.flatnonzero(mixed(coordinate ^ np.uint64(node)) < np.uint64(int(2**64 / (threshold * COORDINATES))))
+
+
+def slots(seed: int, threshold: float) -> np.ndarray:
+    """The coordinate of each child of the roots, tree by tree."""
+    return np.concatenate([picks(v, 0, threshold) for v in roots_of(seed)])
+
+
+def children(nodes: DataFrame, level: int, threshold: float, seed: int) -> DataFrame:
+    """nodes(id, node, sketch) -> node, id, slot of the next level; at level 0 each row stands for the root of every tree,
+    and slot is the child's place in slots(), the same for all rows; below, it is -1."""
 
     def rows(batches):
         picked: dict[int, np.ndarray] = {}
-        roots = mixed(np.arange(TREES, dtype=np.uint64) + np.uint64(seed << 32)).tolist()
+        roots = roots_of(seed)
 
         def of(node: int) -> np.ndarray:
             if node not in picked:
                 if len(picked) > 100_000:
                     picked.clear()
-                picked[node] = np.flatnonzero(mixed(coordinate ^ np.uint64(node)) < limit)
+                picked[node] = picks(node, level, threshold)
             return picked[node]
 
         for b in batches:
             own = [None] * b.num_rows if not level else b.column("node").to_pylist()
             values = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint32).reshape(-1, COORDINATES).astype(np.uint64)
-            at, keys = [], []
+            at, keys, places = [], [], []
             for i, node in enumerate(own):
+                slot = 0
                 for v in roots if node is None else (node & (1 << 64) - 1,):
                     if len(c := of(v)):
                         at.append(np.full(len(c), i))
+                        places += range(slot, slot := slot + len(c)) if node is None else [-1] * len(c)
                         keys.append(mixed(mixed(values[i, c] + (c.astype(np.uint64) << np.uint64(32))) ^ np.uint64(v)))
             if at:
                 ids = b.column("id").take(pa.array(np.concatenate(at)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), ids], ["node", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), ids, pa.array(places, pa.int32())], ["node", "id", "slot"])
 
-    return nodes.mapInArrow(rows, "node long, id long").distinct() if level else nodes.mapInArrow(rows, "node long, id long")
+    out = nodes.mapInArrow(rows, "node long, id long, slot int")
+    return out.distinct() if level else out
 
 
 def bytes_matrix(t: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
 
 
+def full_matrix(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+
+
 PAIRS = "a long, b long"
 
 
@@ -138,43 +161,52 @@ def to_pivots(members: DataFrame, least: int) -> DataFrame:
 
 
 GROUP = ["node", "c1", "c2"]
-MEMBERS = "node long, c1 int, c2 int, chunk int, id long, component long"
+MEMBERS = "node long, c1 int, c2 int, slot int, ready long, chunk int, id long, component long"
 
 
-def candidates(t: pa.Table, edges: np.ndarray, least: int):
-    """Places (i, j) of alike rows of one group, from different components and, in a group of two chunks, from different chunks."""
-    comp, chunk, sk = t.column("component").to_numpy(), t.column("chunk").to_numpy(), bytes_matrix(t)
+def candidates(t: pa.Table, edges: np.ndarray, least: int, coordinates: np.ndarray):
+    """Places (i, j) of alike rows of one group, from different components and, in a group of two chunks, from different
+    chunks. Of the first level's nodes that two rows have in common only the first (among those compared) gives the pair."""
+    comp, chunk, full = t.column("component").to_numpy(), t.column("chunk").to_numpy(), full_matrix(t)
+    sk, value = full.astype(np.uint8), full[:, coordinates]
+    slot, ready = t.column("slot").to_numpy(), t.column("ready").to_numpy()
+    bit = np.int64(1) << np.arange(len(coordinates), dtype=np.int64)
     between = t.column("c1").to_numpy() < t.column("c2").to_numpy()
     size, last = np.repeat(np.diff(edges), np.diff(edges)), np.repeat(edges[1:], np.diff(edges))
     place = np.arange(len(comp))
-    for d in range(1, SMALL):
-        i = np.flatnonzero((size <= SMALL) & (place + d < last))
+
+    def kept(i, j):
+        ok = (sk[i] == sk[j]).sum(axis=1) >= least
+        i, j = (i[ok] if isinstance(i, np.ndarray) else np.full(np.count_nonzero(ok), i)), j[ok]
+        common = ((value[i] == value[j]) @ bit) & ready[i]
+        first = (slot[i] < 0) | (common & -common == np.int64(1) << np.maximum(slot[i], 0).astype(np.int64))
+        return i[first], j[first]
+
+    for d in range(1, TINY):
+        i = np.flatnonzero((size <= TINY) & (place + d < last))
         if not len(i):
             break
         i = i[(comp[i] != comp[i + d]) & (~between[i] | (chunk[i] != chunk[i + d]))]
-        i = i[(sk[i] == sk[i + d]).sum(axis=1) >= least]
-        yield i, i + d
-    for i in np.flatnonzero((size > SMALL) & (place + 1 < last)):
+        yield kept(i, i + d)
+    for i in np.flatnonzero((size > TINY) & (place + 1 < last)):
         rest = slice(i + 1, last[i])
-        j = np.flatnonzero((comp[rest] != comp[i]) & ((chunk[rest] != chunk[i]) | ~between[i])) + i + 1
-        j = j[(sk[j] == sk[i]).sum(axis=1) >= least]
-        yield np.full(len(j), i), j
+        yield kept(i, np.flatnonzero((comp[rest] != comp[i]) & ((chunk[rest] != chunk[i]) | ~between[i])) + i + 1)
 
 
-def with_candidates(members: DataFrame, least: int) -> DataFrame:
+def with_candidates(members: DataFrame, least: int, coordinates: np.ndarray) -> DataFrame:
     """The rows of a group (node, c1, c2) that have a candidate in it: sketches only, and no pair leaves the task."""
 
     def rows(batches):
         for t, edges in groups(batches, GROUP):
             some = np.zeros(len(t), bool)
-            for i, j in candidates(t, edges, least):
+            for i, j in candidates(t, edges, least, coordinates):
                 some[i] = some[j] = True
-            yield from t.select(["node", "c1", "c2", "chunk", "id", "component"]).filter(pa.array(some)).to_batches()
+            yield from t.select(["node", "c1", "c2", "slot", "ready", "chunk", "id", "component"]).filter(pa.array(some)).to_batches()
 
     return members.repartition(*GROUP).sortWithinPartitions(*GROUP, "id").mapInArrow(rows, MEMBERS)
 
 
-def exhaustive(members: DataFrame, least: int, percent: int) -> DataFrame:
+def exhaustive(members: DataFrame, least: int, percent: int, coordinates: np.ndarray) -> DataFrame:
     """members with sketches and full sets -> links that join components: every candidate pair of a group is confirmed on
     the sets unless links found in the group have joined its components by then."""
 
@@ -182,23 +214,36 @@ def exhaustive(members: DataFrame, least: int, percent: int) -> DataFrame:
         for t, edges in groups(batches, GROUP):
             ids, comp = t.column("id").to_numpy(), t.column("component").to_numpy()
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]
+            size = np.array([len(x) for x in sets])
+            group = np.searchsorted(edges, np.arange(len(ids)), side="right").tolist()
             parent: dict[tuple[int, int], tuple[int, int]] = {}
-            group = np.searchsorted(edges, np.arange(len(ids)), side="right")
 
             def find(i):
-                x = (group[i], comp[i])
+                x = (group[i], int(comp[i]))
                 while (y := parent.get(x, x)) != x:
                     parent[x] = x = parent.get(y, y)
                 return x
 
+            def alike(p, q):
+                """Which of the rows q are linked with row p."""
+                every = np.concatenate([sets[j] for j in q])
+                at = np.searchsorted(sets[p], every)
+                at[at == size[p]] = 0
+                both = np.add.reduceat((sets[p][at] == every).astype(np.int64), np.concatenate([[0], np.cumsum(size[q])[:-1]]))
+                return q[100 * both >= percent * (size[p] + size[q] - both)]
+
             out = []
-            for i, j in candidates(t, edges, least):
-                for p, q in zip(i.tolist(), j.tolist()):
-                    if (x := find(p)) != (y := find(q)):
-                        both = shared(sets[p], sets[q])
-                        if 100 * both >= percent * (len(sets[p]) + len(sets[q]) - both):
-                            parent[x] = y
-                            out.append((ids[p], ids[q]))
+            for i, j in candidates(t, edges, least, coordinates):
+                order = np.argsort(i, kind="stable")
+                i, j = i[order], j[order]
+                for part in np.split(j, np.flatnonzero(np.diff(i)) + 1) if len(i) else []:
+                    p = int(i[0])
+                    i = i[len(part) :]
+                    q = np.array([x for x in part.tolist() if find(x) != find(p)], np.int64)
+                    for x in alike(p, q).tolist() if len(q) else []:
+                        if (a := find(p)) != (b := find(x)):
+                            parent[a] = b
+                            out.append((ids[p], ids[x]))
             yield pair_batch([x for x, _ in out], [y for _, y in out])
 
     ordered = members.repartition(*GROUP).sortWithinPartitions(*GROUP, "id")
@@ -256,6 +301,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, seed: int = 3) -> DataFr
     known = sets.filter("n > 0 AND doc_id IS NOT NULL")
     classes = scratch.written(known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("sketch", "low"), "doc_id").alias("s")).select("d1", "d2", "n", "id", "s.*"), "classes")
     small = classes.select("id", F.col("low").alias("sketch")).dropDuplicates(["id"])
+    whole = classes.select("id", "sketch").dropDuplicates(["id"])
+    coordinates = slots(seed, threshold)
 
     # classes in the first level's nodes that hold more than one
     first = scratch.written(children(classes.select("id", "sketch"), 0, threshold, seed), "first-nodes")
@@ -274,14 +321,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75, seed: int = 3) -> DataFr
         here = scratch.written(with_component.drop("size").join(open_, "node"), "open-nodes")
         last = level == LEVELS
         ready = here if last else here.filter(F.col("size") <= SMALL)
+        if level == 1:
+            in_slots = ready.groupBy("id").agg(F.expr("bit_or(shiftleft(1L, slot)) AS ready"))
+            ready = ready.join(in_slots, "id")
+        else:
+            ready = ready.withColumn("ready", F.lit(0).cast("long"))
         n_chunks = F.ceil(F.col("size") / CHUNK).cast("int")
         ready = ready.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), n_chunks - 1)))
         ready = ready.withColumn("c1", F.least("chunk", "other")).withColumn("c2", F.greatest("chunk", "other"))
-        more.append(with_candidates(ready.join(small, "id").select(*GROUP, "chunk", "id", "component", "sketch"), least))
+        more.append(with_candidates(ready.join(whole, "id").select(*GROUP, "slot", "ready", "chunk", "id", "component", "sketch"), least, coordinates))
         large = here.filter(F.col("size") > SMALL)
         if last or large.isEmpty():
             break
-        below = children(large.select("id", "node").join(classes.select("id", "sketch").dropDuplicates(["id"]), "id"), level, threshold, seed)
+        below = children(large.select("id", "node").join(whole, "id"), level, threshold, seed)
         nodes = scratch.written(below.join(below.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), "node"), "nodes")
     late = more[0]
     for m in more[1:]:
@@ -289,7 +341,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, seed: int = 3) -> DataFr
     late = scratch.written(late, "candidates")
     if not late.isEmpty():
         sets_of = scratch.written(full_sets(docs, late.select(F.col("id").alias("doc_id")).distinct()), "full-sets")
-        new = exhaustive(late.join(small, "id").join(sets_of, "id"), least, percent)
+        new = exhaustive(late.join(whole, "id").join(sets_of, "id"), least, percent, coordinates)
         linked = scratch.written(components(linked.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(new)), "components")
 
     found = classes.select("d1", "d2", "n", "id").join(linked, "id", "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("component_id"))
