@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthoplan.llm import arrow_tokens, bpe, iblt, language_id, line_templates, mixing, near_dedup, quality_knn, scratch, vector_dedup
+from orthoplan.llm import arrow_tokens, bpe, html_tree, iblt, language_id, line_templates, mixing, near_dedup, quality_knn, scratch, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +48,10 @@ def op5_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_tokens.documents(manifest)
 
 
+def op6_dom_sum_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.extracted(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op7_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -179,10 +184,12 @@ QUERIES = {
     "op3_chosen_path_dedup": op3_chosen_path_dedup,
     "op4_latent_knn_quality": op4_latent_knn_quality,
     "op5_arrow_tokens": op5_arrow_tokens,
+    "op6_dom_sum_product": op6_dom_sum_product,
     "op7_iblt_fingerprints": op7_iblt_fingerprints,
     "op8_sorted_projection_dedup": op8_sorted_projection_dedup,
     "op9_systematic_mix": op9_systematic_mix,
     "op10_tiktoken_bpe": op10_tiktoken_bpe,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {"op1_line_templates": OP1_SQL, "op3_chosen_path_dedup": OP3_SQL, "op8_sorted_projection_dedup": OP8_SQL, "op9_systematic_mix": OP9_SQL}
