@@ -17,6 +17,8 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import compress, count
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -107,7 +109,7 @@ class Encoder:
             cut.append(words)
             found.append(parts := list(map(self.pieces.get, words)))
             if None in parts:
-                new.update(w for w, p in zip(words, parts) if p is None)
+                new.update(compress(words, map(not_, parts)))
         if new:
             self.learn(list(new))
         get, width, out = self.pieces.__getitem__, self.dtype.itemsize, []
@@ -116,7 +118,8 @@ class Encoder:
                 out.append(self.ids(t).tobytes() if t else b"")
                 continue
             if None in parts:
-                parts = [get(w) if p is None else p for w, p in zip(words, parts)]
+                for i in list(compress(count(), map(not_, parts))):
+                    parts[i] = get(words[i])
             out.append(b"".join(parts)[width:])
         return out
 
