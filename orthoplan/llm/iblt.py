@@ -93,9 +93,11 @@ def as_text(keys: Column, sketched: Column) -> Column:
 def recovered(difference: Column, third: Column, salt: int) -> Column:
     """Digests that peeling takes out of a subtracted sketch, or null if some remain."""
 
-    def pure(state, sign):
-        good = F.filter(state["cells"], lambda c: (c["n"] == sign) & (c["check"] == F.xxhash64(c["key"])))
-        return F.array_distinct(F.transform(good, lambda c: c["key"]))
+    def pure(state):
+        return F.filter(state["cells"], lambda c: c["n"].isin(1, -1) & (c["check"] == F.xxhash64(c["key"])))
+
+    def of_sign(good, sign):
+        return F.array_distinct(F.transform(F.filter(good, lambda c: c["n"] == sign), lambda c: c["key"]))
 
     def peel(state, keys):
         left = F.concat(state["cells"], entries(keys["a"], -1, third, salt), entries(keys["b"], 1, third, salt))
@@ -103,7 +105,8 @@ def recovered(difference: Column, third: Column, salt: int) -> Column:
 
     def step(state, _):
         go = (F.size(state["cells"]) > 0) & ~state["stuck"]
-        return F.when(go, let(F.struct(pure(state, 1).alias("a"), pure(state, -1).alias("b")), lambda keys: peel(state, keys))).otherwise(state)
+        split = lambda good: let(F.struct(of_sign(good, 1).alias("a"), of_sign(good, -1).alias("b")), lambda keys: peel(state, keys))
+        return F.when(go, let(pure(state), split)).otherwise(state)
 
     start = F.struct(difference.alias("cells"), F.lit(0).alias("found"), F.lit(False).alias("stuck"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.when(F.size(s["cells"]) == 0, s["found"]))
@@ -113,13 +116,14 @@ def negative(sketched: Column) -> Column:
     return F.transform(sketched, lambda c: F.struct(c["cell"].alias("cell"), (-c["n"]).alias("n"), c["key"].alias("key"), c["check"].alias("check")))
 
 
-def likeness(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
-    """Of two sets of digests by their sketches: the kept ones first (if the sets' sizes leave a chance), then larger ones."""
+def likeness(a: Column, b: Column, sketch_a: Column, sketch_b: Column, differ: float) -> Column:
+    """Of two sets of digests by their sketches: the kept ones first, if about the share differ of all digests is expected
+    to remain and fits in them; then larger ones. Larger sketches have more empty cells, which cost nothing here, and are
+    peeled in fewer rounds."""
     total = F.size(a) + F.size(b)
     third = F.lit(CELLS // 3).cast("long")
-    chance = (F.abs(F.size(a) - F.size(b)) <= CELLS) & (total <= 4 * CELLS)
-    tries = [F.when(chance, recovered(cells(F.concat(sketch_a, negative(sketch_b))), third, 0))]
-    for salt, factor in ((1, 1), (2, 2), (3, 6)):  # thirds; the load of the first is a third at most
+    tries = [F.when(total * differ <= 0.8 * CELLS, recovered(cells(F.concat(sketch_a, negative(sketch_b))), third, 0))]
+    for salt, factor in ((1, 3), (2, 6), (3, 12)):
         larger = (total * factor + CELLS).cast("long")
         tries.append(let(larger, lambda t, s=salt: recovered(cells(F.concat(entries(a, 1, t, s), entries(b, -1, t, s))), t, s)))
     return F.when(a == b, F.lit(1.0)).otherwise(1 - F.coalesce(*tries) / total)
@@ -159,8 +163,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     d = d.select("doc_id", "text", n.cast("long").alias("n_chars"), "next_text", F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next_text"), F.lit(1), quarter)).alias("edited"))
     third = F.lit(CELLS // 3).cast("long")
     d = d.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("b"), digests(F.col("next_text")).alias("c"))
-    d = d.select("*", *[sketch(F.col(x), third).alias(f"s{x}") for x in "abc"])
+    d = d.select("*", *[sketch(F.col(x), third).alias(f"s{x}") for x in "ab"])
     return d.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("a"), F.col("sa")).alias("fingerprint"), as_text(F.col("b"), F.col("sb")).alias("edited_fingerprint"),
-        likeness(F.col("a"), F.col("b"), F.col("sa"), F.col("sb")).alias("near_edited"), likeness(F.col("a"), F.col("c"), F.col("sa"), F.col("sc")).alias("near_next"),
+        likeness(F.col("a"), F.col("b"), F.col("sa"), F.col("sb"), 0.35).alias("near_edited"),
+        likeness(F.col("a"), F.col("c"), F.col("sa"), sketch(F.col("c"), third), 1.0).alias("near_next"),
     )
