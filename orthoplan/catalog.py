@@ -1,11 +1,560 @@
-"""The registry of the engine's own queries."""
+"""The registry: each operator applied to a domain-shaped view of the driver tables, with DuckDB SQL for the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from orthoplan.functions import geometry as g
+from orthoplan.functions import text as tx
+from orthoplan.operators import evaluate, graph, lexicon, review
+from orthoplan.plans import fixture
 
 FLAGSHIP = "attribute_minutes"
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLE_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- review -----------------------------------------------------------------
+
+
+def log(spark, d) -> DataFrame:
+    """events as one activity log: users are sheets, purchases are verdicts."""
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "purchase", "verdict").otherwise(F.col("event_type"))
+    return e.select(F.lit("doc").alias("document"), F.to_utc_timestamp(F.col("ts").cast("timestamp"), "UTC").alias("at"), F.col("event_id").alias("line_no"), F.col("user_id").alias("sheet"), kind.alias("event"), "value", "props")
+
+
+GAPS = "SELECT user_id AS sheet, epoch_us(lead(ts) OVER (ORDER BY ts, event_id)) - epoch_us(ts) AS gap FROM events"
+
+
+@query(f"SELECT sheet, sum(gap) / 60000000.0::DOUBLE AS minutes FROM ({GAPS}) WHERE gap <= 600000000 GROUP BY sheet")
+def attribute_minutes(spark, d):
+    return review.attribute_minutes(log(spark, d)).drop("document")
+
+
+@query("SELECT DISTINCT user_id AS sheet FROM events WHERE event_type = 'purchase'")
+def timed_sheets(spark, d):
+    return review.timed_sheets(log(spark, d)).select("sheet")
+
+
+@query("SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+def latest_verdict(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_type", "event_id", "value", "ts")
+    return review.latest(e, ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
+
+
+@query("""
+SELECT user_id, session, count(*) AS events, min(event_id) AS first_event FROM (
+  SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM (
+    SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 600000000 THEN 1 ELSE 0 END AS new FROM events))
+GROUP BY user_id, session
+""")
+def idle_sessions(spark, d):
+    s = review.sessions(log(spark, d), ["document", "sheet"])
+    return s.groupBy(F.col("sheet").alias("user_id"), "session").agg(F.count("*").alias("events"), F.min("line_no").alias("first_event"))
+
+
+@query("SELECT count(*) AS events, count(*) FILTER (json_valid(props)) AS readable, CAST(sum(CASE WHEN json_valid(props) THEN CAST(props->>'$.k' AS BIGINT) END) AS BIGINT) AS total FROM events")
+def unreadable_events(spark, d):
+    p = F.from_json("props", "k BIGINT, bad STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"})
+    e = log(spark, d).select(p.alias("p"))
+    return e.agg(F.count("*").alias("events"), F.count_if(F.col("p.bad").isNull()).alias("readable"), F.sum("p.k").alias("total"))
+
+
+def detections(spark, d) -> DataFrame:
+    """documents as detections: sources are sheets, languages are kinds."""
+    k = F.when(F.col("lang") == "en", "symbol").when(F.col("lang") == "fr", "line").otherwise("text")
+    doc = table(spark, d, "documents")
+    return doc.select(F.lit("doc").alias("document"), F.col("source").alias("sheet"), F.lit("p").alias("profile_name"), F.lit("0").alias("profile_version"), F.col("doc_id").alias("id"), k.alias("kind"), F.lit(0).alias("kind_ord"), F.col("doc_id").alias("pos"), F.col("n_chars").cast("double").alias("confidence"), "n_chars")
+
+
+def verdicts(spark, d) -> DataFrame:
+    lab = table(spark, d, "labels").join(detections(spark, d).select("profile_name", "profile_version", "sheet", "kind", F.col("id").alias("doc_id")), "doc_id")
+    v = F.when(F.col("toxic") == 1, "reject").when(F.col("quality") == 0, "edit").otherwise("pass")
+    return lab.select("profile_name", "profile_version", "sheet", F.col("doc_id").alias("detection_id"), v.alias("verdict"), "kind", F.lit(1).alias("seq"))
+
+
+KIND = "CASE lang WHEN 'en' THEN 'symbol' WHEN 'fr' THEN 'line' ELSE 'text' END"
+VERDICT = "CASE WHEN toxic = 1 THEN 'reject' WHEN quality = 0 THEN 'edit' ELSE 'pass' END"
+
+
+@query("""
+SELECT source, total, decided, CASE WHEN decided = total THEN 'reviewed' WHEN decided = 0 THEN 'untouched' ELSE 'in progress' END AS state
+FROM (SELECT source, count(*) AS total, count(l.doc_id) AS decided FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source)
+""")
+def review_state(spark, d):
+    n = review.judged(detections(spark, d), verdicts(spark, d)).groupBy(F.col("sheet").alias("source")).agg(F.count("*").alias("total"), F.count("verdict").alias("decided"))
+    return n.withColumn("state", review.review_state(F.col("decided"), F.col("total")))
+
+
+@query("""
+SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS rank
+FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
+""")
+def review_queue(spark, d):
+    return review.queue(detections(spark, d), verdicts(spark, d)).select(F.col("id").alias("doc_id"), F.col("sheet").alias("source"), "rank")
+
+
+@query(f"""
+SELECT {KIND} AS kind, count(*) AS reviewed, count(*) FILTER ({VERDICT} = 'pass') AS passed, count(*) FILTER ({VERDICT} = 'reject') AS rejected,
+       count(*) FILTER ({VERDICT} = 'edit') AS edited
+FROM documents JOIN labels USING (doc_id) GROUP BY 1
+""")
+def kpi_by_kind(spark, d):
+    j = review.judged(detections(spark, d), verdicts(spark, d)).filter("verdict IS NOT NULL")
+    n = lambda v: F.count_if(F.col("verdict") == v)
+    return j.groupBy("kind").agg(F.count("*").alias("reviewed"), n("pass").alias("passed"), n("reject").alias("rejected"), n("edit").alias("edited"))
+
+
+@query(f"""
+WITH j AS (SELECT source, {KIND} AS kind, CASE WHEN l.doc_id IS NOT NULL THEN {VERDICT} END AS v FROM documents d LEFT JOIN labels l USING (doc_id)),
+s AS (SELECT source, count(*) AS n, count(v) AS decided, count(*) FILTER (kind = 'symbol' AND v IS NOT NULL) AS rev, count(*) FILTER (kind = 'symbol' AND v <> 'pass') AS cor FROM j GROUP BY source)
+SELECT CASE WHEN grouping(source) = 1 THEN 'overall' ELSE 'document' END AS level, source, count(*) AS total, count(*) FILTER (n > 0 AND decided = n) AS accepted,
+       CASE WHEN sum(rev) > 0 THEN 100.0::DOUBLE * sum(cor) / sum(rev) END AS corrections_per_100_symbols
+FROM s GROUP BY GROUPING SETS ((source), ())
+""")
+def kpi_report(spark, d):
+    det = detections(spark, d).withColumn("document", F.col("sheet"))
+    sheets = det.select("document", "sheet", F.lit(None).cast("string").alias("profile_name"), F.lit(None).cast("string").alias("profile_version"), F.lit(True).alias("readable")).distinct()
+    events = log(spark, d).withColumn("sheet", F.col("sheet").cast("string"))
+    r = review.kpi_report(review.sheet_rows(sheets, det, verdicts(spark, d), events))
+    return r.select("level", F.col("document").alias("source"), "total", "accepted", "corrections_per_100_symbols")
+
+
+@query("SELECT l.doc_id FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND d.n_chars >= 1000) AND EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id)")
+def stale_verdicts(spark, d):
+    return review.stale(detections(spark, d).filter("n_chars >= 1000"), verdicts(spark, d)).select(F.col("detection_id").alias("doc_id"))
+
+
+@query(f"""
+SELECT doc_id, source, {VERDICT} AS verdict, CASE {VERDICT} WHEN 'pass' THEN 'positive' WHEN 'reject' THEN 'negative' ELSE 'corrected' END AS example,
+       row_number() OVER (ORDER BY source, doc_id) AS rank FROM documents JOIN labels USING (doc_id)
+""")
+def training_export(spark, d):
+    return review.training_examples(verdicts(spark, d)).select(F.col("detection_id").alias("doc_id"), F.col("sheet").alias("source"), "verdict", "example", "rank")
+
+
+@query("""
+SELECT l_orderkey, section, count(*) AS gaps, round(min(confidence), 6) AS least FROM (
+  SELECT l_orderkey, 'unresolved-text' AS section, l_discount AS confidence FROM lineitem WHERE l_returnflag = 'R'
+  UNION ALL SELECT l_orderkey, 'text', l_discount FROM lineitem WHERE l_returnflag = 'A' AND l_discount < 0.05::DOUBLE
+  UNION ALL SELECT l_orderkey, 'symbol', l_discount FROM lineitem WHERE l_returnflag = 'N' AND l_linestatus = 'O' AND l_discount < 0.05::DOUBLE
+  UNION ALL SELECT l_orderkey, 'line', l_discount FROM lineitem WHERE l_returnflag = 'N' AND l_linestatus = 'F' AND l_discount < 0.05::DOUBLE)
+GROUP BY l_orderkey, section
+""")
+def low_confidence_gaps(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", F.col("l_discount").alias("confidence"))
+    resolved = F.col("l_returnflag") != "R"
+    texts = li.filter("l_returnflag IN ('R', 'A')").select("l_orderkey", "confidence", resolved.alias("resolved"))
+    from orthoplan.operators.batch import gaps
+
+    symbols, lines = li.filter("l_returnflag = 'N' AND l_linestatus = 'O'"), li.filter("l_returnflag = 'N' AND l_linestatus = 'F'")
+    every = gaps(texts, symbols.select("l_orderkey", "confidence"), lines.select("l_orderkey", "confidence"), 0.05)
+    name = F.when(F.col("kind") == "unresolved-text", F.col("kind")).otherwise(F.element_at(F.array(F.lit("text"), F.lit("symbol"), F.lit("line")), F.col("section")))
+    return every.groupBy("l_orderkey", name.alias("section")).agg(F.count("*").alias("gaps"), F.round(F.min("confidence"), 6).alias("least"))
+
+
+# --- evaluation -------------------------------------------------------------
+
+BOX = "l_partkey % 40 AS x0, l_suppkey % 30 AS y0, l_partkey % 40 + l_quantity AS x1, l_suppkey % 30 + 20 AS y1"
+IOU = """CASE WHEN least(p.x1, t.x1) > greatest(p.x0, t.x0) AND least(p.y1, t.y1) > greatest(p.y0, t.y0) THEN
+  (least(p.x1, t.x1) - greatest(p.x0, t.x0)) * (least(p.y1, t.y1) - greatest(p.y0, t.y0))
+  / ((p.x1 - p.x0) * (p.y1 - p.y0) + (t.x1 - t.x0) * (t.y1 - t.y0) - (least(p.x1, t.x1) - greatest(p.x0, t.x0)) * (least(p.y1, t.y1) - greatest(p.y0, t.y0))) ELSE 0 END"""
+RANK = "row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice)"
+
+
+def boxes(spark, d, flag: str) -> DataFrame:
+    li = table(spark, d, "lineitem").filter(F.col("l_returnflag") == flag)
+    x, y = F.col("l_partkey") % 40, F.col("l_suppkey") % 30
+    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"))
+    return li.select(F.col("l_orderkey").alias("sheet"), pos.alias("pos"), g.box(x, y, x + F.col("l_quantity"), y + 20).alias("bbox"), F.col("l_linestatus").alias("cls"), F.col("l_linestatus").alias("string"))
+
+
+PAIRS = f"""
+WITH b AS (SELECT l_orderkey AS sheet, l_returnflag AS f, l_linestatus AS cls, {RANK} AS pos, {BOX} FROM lineitem)
+SELECT p.sheet, p.pos AS p, t.pos AS t, round({IOU}, 6) AS iou FROM b p JOIN b t ON p.sheet = t.sheet AND p.f = 'R' AND t.f = 'A' AND p.cls = t.cls WHERE {IOU} >= 0.3
+"""
+
+
+@query(PAIRS)
+def iou_candidates(spark, d):
+    return evaluate.candidate_pairs(boxes(spark, d, "R"), boxes(spark, d, "A"), 0.3).withColumn("iou", F.round("iou", 6))
+
+
+@query(PAIRS)
+def gridded_iou_candidates(spark, d):
+    return evaluate.gridded_pairs(boxes(spark, d, "R"), boxes(spark, d, "A"), 25.0, 0.3).withColumn("iou", F.round("iou", 6))
+
+
+@query()
+def greedy_match(spark, d):
+    return evaluate.greedy_match(evaluate.candidate_pairs(boxes(spark, d, "R"), boxes(spark, d, "A"), 0.3))
+
+
+@query()
+def tag_scores(spark, d):
+    return evaluate.tag_scores(boxes(spark, d, "R"), boxes(spark, d, "A"), 0.3)
+
+
+def links(spark, d, flag: str) -> DataFrame:
+    li = table(spark, d, "lineitem").filter(F.col("l_returnflag") == flag)
+    direction = F.when(F.col("l_linestatus") == "F", "known").otherwise("unknown")
+    return li.select(F.lit(0).alias("sheet"), F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("pos"), (F.col("l_partkey") % 50).alias("source"), (F.col("l_suppkey") % 50).alias("target"), direction.alias("direction"))
+
+
+COUNTS = """
+WITH n AS (SELECT least(l_partkey % 50, l_suppkey % 50) AS low, greatest(l_partkey % 50, l_suppkey % 50) AS high,
+                  count(*) FILTER (l_returnflag = 'R') AS cp, count(*) FILTER (l_returnflag = 'A') AS ct FROM lineitem GROUP BY 1, 2),
+s AS (SELECT CAST(sum(least(cp, ct)) AS BIGINT) AS tp, CAST(sum(greatest(cp - ct, 0)) AS BIGINT) AS fp, CAST(sum(greatest(ct - cp, 0)) AS BIGINT) AS fn FROM n),
+p AS (SELECT *, tp::DOUBLE / nullif(tp + fp, 0) AS precision, tp::DOUBLE / nullif(tp + fn, 0) AS recall, 2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0) AS f1 FROM s)
+"""
+
+
+@query(COUNTS + "SELECT * FROM p")
+def link_f1(spark, d):
+    return evaluate.micro(evaluate.link_counts(links(spark, d, "R"), links(spark, d, "A")))
+
+
+@query()
+def link_directions(spark, d):
+    return evaluate.link_directions(links(spark, d, "R"), links(spark, d, "A"))
+
+
+def _pairs(spark, d, flag):
+    return links(spark, d, flag).select(*evaluate.pair(F.col("source"), F.col("target")))
+
+
+SIDE = "SELECT least(l_partkey % 50, l_suppkey % 50) AS low, greatest(l_partkey % 50, l_suppkey % 50) AS high FROM lineitem WHERE l_returnflag = "
+
+
+@query(f"{SIDE} 'R' INTERSECT ALL {SIDE} 'A'")
+def link_intersect(spark, d):
+    return _pairs(spark, d, "R").intersectAll(_pairs(spark, d, "A"))
+
+
+@query(f"{SIDE} 'R' EXCEPT ALL {SIDE} 'A'")
+def link_except(spark, d):
+    return _pairs(spark, d, "R").exceptAll(_pairs(spark, d, "A"))
+
+
+@query(COUNTS + """SELECT * FROM (SELECT 'symbol_f1' AS metric, 0.9::DOUBLE AS threshold, NULL::DOUBLE AS score, false AS passed
+UNION ALL SELECT 'tag_exact_match', 0.98::DOUBLE, recall, coalesce(recall >= 0.98::DOUBLE, false) FROM p UNION ALL SELECT 'connectivity_f1', 0.7::DOUBLE, f1, coalesce(f1 >= 0.7::DOUBLE, false) FROM p)""")
+def gate_report(spark, d):
+    s = link_f1(spark, d).select(F.inline(F.array(F.struct(F.lit("connectivity_f1").alias("metric"), F.col("f1").alias("score")), F.struct(F.lit("tag_exact_match").alias("metric"), F.col("recall").alias("score")))))
+    return evaluate.gates(s)
+
+
+@query("""
+WITH s AS (SELECT l_shipdate::DATE AS day, count(*) FILTER (l_returnflag = 'R') AS tp, count(*) FILTER (l_returnflag = 'A') AS fp, count(*) FILTER (l_returnflag = 'N' AND l_quantity < 5) AS fn FROM lineitem GROUP BY 1)
+SELECT CAST(day AS VARCHAR) AS day, tp, fp, fn, tp::DOUBLE / nullif(tp + fp, 0) AS precision, tp::DOUBLE / nullif(tp + fn, 0) AS recall, 2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0) AS f1 FROM s
+""")
+def prf_null_safe(spark, d):
+    li = table(spark, d, "lineitem").withColumn("day", F.col("l_shipdate").cast("date").cast("string"))
+    of = lambda c: F.when(c, 1).otherwise(0)
+    rows = li.select("day", of(F.col("l_returnflag") == "R").alias("tp"), of(F.col("l_returnflag") == "A").alias("fp"), of((F.col("l_returnflag") == "N") & (F.col("l_quantity") < 5)).alias("fn"))
+    return evaluate.micro(rows, ["day"])
+
+
+# --- joins ------------------------------------------------------------------
+
+PART_BOX = "p_partkey * 7 % 900 AS x0, p_partkey * 11 % 300 AS y0, p_partkey * 7 % 900 + 60 + p_size AS x1, p_partkey * 11 % 300 + 40 AS y1"
+
+
+def part_boxes(spark, d) -> DataFrame:
+    k = F.col("p_partkey")
+    x, y = k * 7 % 900, k * 11 % 300
+    nozzle = F.when(k % 3 == 0, k.cast("int"))
+    return table(spark, d, "part").select((k % 20).alias("sheet"), (k / 4).cast("long").alias("terminal"), nozzle.alias("nozzle"), g.box(x, y, x + 60 + F.col("p_size"), y + 40).alias("bbox"))
+
+
+@query(f"""
+WITH b AS (SELECT p_partkey % 20 AS sheet, p_partkey // 4 AS terminal, CASE WHEN p_partkey % 3 = 0 THEN p_partkey END AS nozzle, {PART_BOX} FROM part),
+e AS (SELECT o_orderkey AS run, o_orderkey % 20 AS sheet, o_orderkey % 1000 AS x, o_custkey % 400 AS y FROM orders),
+h AS (SELECT run, terminal, nozzle, row_number() OVER (PARTITION BY run ORDER BY nozzle IS NULL, terminal, nozzle) AS k
+      FROM e JOIN b ON e.sheet = b.sheet AND x BETWEEN x0 - 2 AND x1 + 2 AND y BETWEEN y0 - 2 AND y1 + 2)
+SELECT e.run, h.terminal, h.nozzle FROM e LEFT JOIN h ON h.run = e.run AND k = 1
+""")
+def endpoint_attach(spark, d):
+    from orthoplan.operators.assembly import attach_ends
+
+    o = table(spark, d, "orders")
+    ends = o.select((F.col("o_orderkey") % 20).alias("sheet"), F.col("o_orderkey").alias("run"), F.lit(0).alias("end"), g.point(F.col("o_orderkey") % 1000, F.col("o_custkey") % 400).alias("p"))
+    return attach_ends(ends, part_boxes(spark, d), by=["sheet"]).select("run", "terminal", "nozzle")
+
+
+@query("""
+SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey
+QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY abs(c_acctbal - s_acctbal), s_suppkey) = 1
+""")
+def nearest_terminal(spark, d):
+    from orthoplan.operators.assembly import nearest
+
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("n"), "c_custkey", "c_acctbal")
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("n"), "s_suppkey", "s_acctbal")
+    return nearest(c, s, ["n"], F.abs(F.col("c_acctbal") - F.col("s_acctbal")), "s_suppkey", ["s_suppkey"], ["c_custkey"])
+
+
+@query("""
+SELECT doc_id, CASE WHEN r_regionkey IS NOT NULL THEN 'region' WHEN n_nationkey IS NOT NULL THEN 'nation' ELSE 'free_text' END AS text_class
+FROM (SELECT doc_id, upper(regexp_extract(text, '^([A-Za-z]*)', 1)) AS w FROM documents) LEFT JOIN region ON upper(r_name) = w LEFT JOIN nation ON upper(n_name) = w
+""")
+def text_class(spark, d):
+    from orthoplan.operators.label_factory import first_claims
+
+    w = table(spark, d, "documents").select("doc_id", F.upper(F.regexp_extract("text", "^([A-Za-z]*)", 1)).alias("string"))
+    claims = table(spark, d, "region").select(F.upper("r_name").alias("string"), F.lit("region").alias("text_class"), F.struct(F.lit(0).alias("part"), F.col("r_regionkey").alias("k")).alias("ord"))
+    claims = claims.unionByName(table(spark, d, "nation").select(F.upper("n_name").alias("string"), F.lit("nation").alias("text_class"), F.struct(F.lit(1).alias("part"), F.col("n_nationkey").alias("k")).alias("ord")))
+    return w.join(first_claims(claims), "string", "left").select("doc_id", F.coalesce("text_class", F.lit("free_text")).alias("text_class"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'F')")
+def resume_anti(spark, d):
+    from orthoplan.operators.batch import pending
+
+    state = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sheet"), F.when(F.col("l_linestatus") == "F", "succeeded").otherwise("failed").alias("status"))
+    return pending(table(spark, d, "orders").select(F.col("o_orderkey").alias("sheet")), state).select(F.col("sheet").alias("o_orderkey"))
+
+
+# --- text -------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, translate(c_name, '05182', 'OSIBZ') AS noised FROM customer")
+def stub_noise(spark, d):
+    return table(spark, d, "customer").select("c_custkey", fixture.noised(F.col("c_name")).alias("noised"))
+
+
+@query(r"""
+WITH t AS (SELECT p_partkey, translate(p_brand, '15', 'IS') AS s FROM part)
+SELECT p_partkey, CASE WHEN regexp_full_match(s, 'Brand#[0-9]{1,2}') THEN s ELSE translate(s, 'IS', '15') END AS string, true AS resolved,
+       CASE WHEN regexp_full_match(s, 'Brand#[0-9]{1,2}') THEN NULL ELSE s END AS raw_string,
+       CASE WHEN regexp_full_match(s, 'Brand#[0-9]{1,2}') THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS confidence
+FROM t
+""")
+def decode_tags(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.translate("p_brand", "15", "IS").alias("string"), F.lit("brand").alias("text_class"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("raw_string"), F.lit(None).cast("string").alias("correction"), F.struct(F.lit("stub").alias("component"), F.lit("e").alias("evidence")).alias("provenance"))
+    return lexicon.decoded(p, {"brand": r"Brand#\d{1,2}"}).select("p_partkey", "string", "resolved", "raw_string", "confidence")
+
+
+@query(r"""
+WITH n AS (SELECT c_name AS s FROM customer UNION ALL SELECT s_name FROM supplier UNION ALL SELECT p_name FROM part),
+f AS (SELECT s, regexp_full_match(s, 'Customer#[0-9]+') AS a, regexp_full_match(s, '[A-Z][a-z]+#[0-9]+') AS b FROM n)
+SELECT s, CASE WHEN a AND b THEN NULL WHEN a THEN 'customer' WHEN b THEN 'named' END AS text_class, count(*) AS n FROM f GROUP BY 1, 2
+""")
+def classify_class(spark, d):
+    s = table(spark, d, "customer").select(F.col("c_name").alias("s")).unionAll(table(spark, d, "supplier").select("s_name")).unionAll(table(spark, d, "part").select("p_name"))
+    return lexicon.classified(s, {"customer": r"Customer#[0-9]+", "named": r"[A-Z][a-z]+#[0-9]+"}, "s").groupBy("s", "text_class").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'OPC-' || CASE WHEN o_orderkey % 2 = 0 THEN c_name ELSE o_orderkey::VARCHAR END
+  ELSE coalesce(CASE WHEN o_orderkey % 3 = 0 THEN c_name END, 'UNTAGGED-' || o_orderkey) END AS node_tag,
+  CASE WHEN o_orderstatus = 'O' THEN CASE WHEN o_orderkey % 2 = 0 THEN c_name || ' / ' || c_mktsegment ELSE 'off-page connector' END
+  ELSE coalesce(CASE WHEN o_orderkey % 3 = 0 THEN c_name END, 'UNTAGGED-' || o_orderkey) END AS node_name
+FROM orders JOIN customer ON c_custkey = o_custkey
+""")
+def node_tags(spark, d):
+    j = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    role = F.when(F.col("o_orderstatus") == "O", tx.OFF_PAGE).otherwise("Equipment")
+    labels = F.when(F.col("o_orderkey") % 2 == 0, F.array("c_name", "c_mktsegment")).otherwise(F.array().cast("array<string>"))
+    args = (role, labels, F.when(F.col("o_orderkey") % 3 == 0, F.col("c_name")), F.col("o_orderkey").cast("string"))
+    return j.select("o_orderkey", tx.node_tag(*args).alias("node_tag"), tx.node_name(*args).alias("node_name"))
+
+
+@query("SELECT n_nationkey, 'MERGE (n:' || upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)) || ' {tag: \"' || r_name || '\"})' AS statement FROM nation JOIN region ON r_regionkey = n_regionkey")
+def cypher_nodes(spark, d):
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    return n.select("n_nationkey", F.concat(F.lit("MERGE (n:"), tx.graph_label(F.col("n_name")), F.lit(" {tag: "), tx.json_literal("r_name"), F.lit("})")).alias("statement"))
+
+
+# --- graph ------------------------------------------------------------------
+
+
+@query("""
+SELECT l_orderkey, CASE WHEN count(DISTINCT l_linestatus) > 1 THEN 'conflict' ELSE 'known' END AS direction, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS sources
+FROM lineitem GROUP BY l_orderkey
+""")
+def evidence_direction(spark, d):
+    li = table(spark, d, "lineitem").groupBy("l_orderkey")
+    return li.agg(F.when(F.count_distinct("l_linestatus") > 1, "conflict").otherwise("known").alias("direction"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("sources"))
+
+
+EDGES = "SELECT o_custkey AS a, ((o_orderkey // 30) * 7919 + o_custkey * 31) % 1500 AS b FROM orders WHERE o_orderkey % 30 = 0"
+
+
+def edges(spark, d) -> DataFrame:
+    o = table(spark, d, "orders").filter("o_orderkey % 30 = 0")
+    return o.select(F.col("o_custkey").alias("a"), F.expr("((o_orderkey div 30) * 7919 + o_custkey * 31) % 1500").alias("b"))
+
+
+REACH = f"""
+WITH RECURSIVE e AS ({EDGES}), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e),
+r AS (SELECT a AS id, a AS m FROM u UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.m), c AS (SELECT id, min(m) AS component FROM r GROUP BY id)
+"""
+
+
+@query(REACH + "SELECT * FROM c")
+def components(spark, d):
+    return graph.components(edges(spark, d))
+
+
+@query(REACH + "SELECT * FROM c")
+def components_by_group(spark, d):
+    return graph.components_by(edges(spark, d).withColumn("sheet", F.lit(0)), ["sheet"]).select("id", "component")
+
+
+@query(REACH + "SELECT x.component, x.id AS a, y.id AS b FROM c x JOIN c y ON x.component = y.component AND x.id < y.id WHERE x.id % 7 = 0 AND y.id % 7 = 0")
+def pair_links(spark, d):
+    """All pairs of terminals of a component: terminals are every seventh vertex."""
+    c = components(spark, d).filter("id % 7 = 0")
+    return c.alias("x").join(c.alias("y"), "component").filter("x.id < y.id").select("component", F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+@query("SELECT p_name, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS sheets FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) > 1")
+def cross_sheet_links(spark, d):
+    return table(spark, d, "part").groupBy("p_name").agg(F.array_sort(F.collect_set("p_brand")).alias("s")).filter(F.size("s") > 1).select("p_name", F.array_join("s", ",").alias("sheets"))
+
+
+ORDERED = "l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
+
+
+@query(f"SELECT l_orderkey, l_partkey, l_extendedprice, 'p' || l_orderkey || 'n' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY {ORDERED}) - 1) AS number FROM lineitem")
+def record_numbering(spark, d):
+    w = Window.partitionBy("l_orderkey").orderBy(*[c.strip() for c in ORDERED.split(",")])
+    return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", F.concat(F.lit("p"), F.col("l_orderkey").cast("string"), F.lit("n"), (F.row_number().over(w) - 1).cast("string")).alias("number"))
+
+
+# --- geometry ---------------------------------------------------------------
+
+
+def polylines(spark, d) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    p = F.array(g.point(F.col("l_partkey") % 100, F.col("l_suppkey") % 50), g.point(F.col("l_quantity"), F.col("l_linenumber") * 9), g.point(F.col("l_orderkey") % 80, F.col("l_quantity") * 2))
+    return li.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", p.alias("polyline"))
+
+
+VERTICES = "SELECT *, l_partkey % 100 AS ax, l_suppkey % 50 AS ay, l_quantity AS bx, l_linenumber * 9 AS by_, l_orderkey % 80 AS cx, l_quantity * 2 AS cy FROM lineitem"
+
+
+@query(f"SELECT l_orderkey, l_partkey, l_extendedprice, round(sqrt((ax-bx)*(ax-bx) + (ay-by_)*(ay-by_)) + sqrt((bx-cx)*(bx-cx) + (by_-cy)*(by_-cy)), 6) AS length FROM ({VERTICES})")
+def polyline_length(spark, d):
+    return polylines(spark, d).select("l_orderkey", "l_partkey", "l_extendedprice", F.round(g.length(F.col("polyline")), 6).alias("length"))
+
+
+@query(f"""
+SELECT l_orderkey, l_partkey, l_extendedprice, i, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1 FROM (
+  SELECT l_orderkey, l_partkey, l_extendedprice, 0 AS i, ax AS x0, ay AS y0, bx AS x1, by_ AS y1 FROM ({VERTICES})
+  UNION ALL SELECT l_orderkey, l_partkey, l_extendedprice, 1, bx, by_, cx, cy FROM ({VERTICES}))
+""")
+def segments(spark, d):
+    s = polylines(spark, d).select("l_orderkey", "l_partkey", "l_extendedprice", F.explode(g.legs(F.col("polyline"))).alias("s"))
+    return s.select("l_orderkey", "l_partkey", "l_extendedprice", "s.i", *[F.round(F.col(f"s.{v}.{c}"), 6).alias(f"{c}{n}") for n, v in enumerate("ab") for c in "xy"])
+
+
+SEGMENT = """
+  CASE WHEN {ax} = {bx} AND {ay} = {by} THEN sqrt(power(50 - {ax}, 2) + power(25 - {ay}, 2)) ELSE
+  sqrt(power(50 - ({ax} + t * ({bx} - {ax})), 2) + power(25 - ({ay} + t * ({by} - {ay})), 2)) END"""
+
+
+@query(f"""
+SELECT l_orderkey, l_partkey, l_extendedprice, round({SEGMENT.format(ax="ax", ay="ay", bx="bx", by="by_")}, 6) AS dist FROM (
+  SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((50 - ax) * (bx - ax) + (25 - ay) * (by_ - ay)) / nullif((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay), 0)::DOUBLE)) AS t FROM ({VERTICES}))
+""")
+def seg_distance(spark, d):
+    p = polylines(spark, d)
+    v = F.col("polyline")
+    return p.select("l_orderkey", "l_partkey", "l_extendedprice", F.round(g.segment_dist(g.point(F.lit(50), F.lit(25)), v[0], v[1]), 6).alias("dist"))
+
+
+@query("""
+WITH b AS (SELECT l_orderkey, l_partkey, l_extendedprice, l_partkey % 100 AS x0, l_suppkey % 50 AS y0, l_partkey % 100 + l_quantity AS x1, l_suppkey % 50 + l_linenumber AS y1 FROM lineitem),
+c AS (SELECT *, unnest([x0, x1, x1, x0]) AS x, unnest([y0, y0, y1, y1]) AS y FROM b),
+m AS (SELECT *, (cos(radians(-2.5)) * (x - 200) - sin(radians(-2.5)) * (y - 100) + 200) * 0.5::DOUBLE AS u, (sin(radians(-2.5)) * (x - 200) + cos(radians(-2.5)) * (y - 100) + 100) * 0.5::DOUBLE AS v FROM c)
+SELECT l_orderkey, l_partkey, l_extendedprice, round(min(u), 6) AS x0, round(min(v), 6) AS y0, round(max(u), 6) AS x1, round(max(v), 6) AS y1
+FROM m GROUP BY l_orderkey, l_partkey, l_extendedprice, x0, y0, m.x1, m.y1
+""".replace("x0, y0, m.x1, m.y1", "m.x0, m.y0, m.x1, m.y1"))
+def frame_map(spark, d):
+    x, y = F.col("l_partkey") % 100, F.col("l_suppkey") % 50
+    norm = F.struct(F.lit(2.5).alias("angle_degrees"), F.lit(0.5).alias("scale"), F.array(F.lit(400), F.lit(200)).alias("original_size"))
+    b = g.box(x, y, x + F.col("l_quantity"), y + F.col("l_linenumber"))
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", b.alias("b")).distinct()
+    m = li.withColumn("m", g.mapped_box(F.col("b"), lambda p: g.to_normalized(p, norm)))
+    return m.select("l_orderkey", "l_partkey", "l_extendedprice", *[F.round(F.col(f"m.{c}"), 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+CLIP = "SELECT *, greatest(x0, 0) AS a, greatest(y0, 0) AS b, least(x1, 90) AS c, least(y1, 60) AS e FROM (SELECT l_orderkey, l_partkey, l_extendedprice, l_linenumber, l_partkey % 140 - 30 AS x0, l_suppkey % 90 - 20 AS y0, l_partkey % 140 - 30 + l_quantity / 2 AS x1, l_suppkey % 90 - 20 + l_linenumber * 3 AS y1 FROM lineitem)"
+
+
+def _clipped(spark, d) -> DataFrame:
+    x, y = F.col("l_partkey") % 140 - 30, F.col("l_suppkey") % 90 - 20
+    b = g.box(x, y, x + F.col("l_quantity") / 2, y + F.col("l_linenumber") * 3)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_linenumber", g.clipped(b, F.lit(90), F.lit(60)).alias("b"))
+
+
+@query(f"SELECT l_orderkey, l_partkey, l_extendedprice, a::DOUBLE AS x0, b::DOUBLE AS y0, c::DOUBLE AS x1, e::DOUBLE AS y1 FROM ({CLIP}) WHERE a < c AND b < e")
+def clip_boxes(spark, d):
+    return _clipped(spark, d).filter("b IS NOT NULL").select("l_orderkey", "l_partkey", "l_extendedprice", "b.*")
+
+
+@query(f"SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM ({CLIP}) WHERE NOT (a < c AND b < e))")
+def drop_vanished(spark, d):
+    """Links whose end vanished from the canvas go with it."""
+    gone = _clipped(spark, d).filter("b IS NULL").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, d, "orders").select("o_orderkey", "o_custkey").join(gone, "o_orderkey", "left_anti")
+
+
+# --- statistics -------------------------------------------------------------
+
+
+@query("""
+WITH h AS (SELECT n_chars % 256 AS v, count(*) AS n FROM documents GROUP BY 1),
+c AS (SELECT v, sum(n) OVER (ORDER BY v) AS w0, sum(v * n) OVER (ORDER BY v) AS s0, sum(n) OVER () AS w, sum(v * n) OVER () AS s FROM h),
+b AS (SELECT v, w0 * (w - w0)::DOUBLE * power(s0 / w0::DOUBLE - (s - s0) / nullif(w - w0, 0)::DOUBLE, 2) AS between_ FROM c)
+SELECT v AS threshold FROM b WHERE between_ IS NOT NULL ORDER BY round(between_, 3) DESC, v LIMIT 1
+""")
+def otsu_histogram(spark, d):
+    """Otsu's threshold of a histogram: at most 256 rows reach the windows."""
+    h = table(spark, d, "documents").groupBy((F.col("n_chars") % 256).alias("v")).agg(F.count("*").alias("n"))
+    up, every = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    s = F.col("v") * F.col("n")
+    c = h.select("v", F.sum("n").over(up).alias("w0"), F.sum(s).over(up).alias("s0"), F.sum("n").over(every).alias("w"), F.sum(s).over(every).alias("s"))
+    rest = F.col("w") - F.col("w0")
+    between = F.when(rest > 0, F.col("w0") * rest.cast("double") * F.pow(F.col("s0") / F.col("w0") - (F.col("s") - F.col("s0")) / rest, 2))
+    return c.withColumn("b", F.round(between, 3)).filter("b IS NOT NULL").orderBy(F.desc("b"), "v").limit(1).select(F.col("v").alias("threshold"))
+
+
+@query("SELECT p_brand, list_sort(list(p_size))[count(*) // 2 + 1] AS median FROM part GROUP BY p_brand")
+def upper_median(spark, d):
+    """The upper median from value counts: a brand's sizes are few, its rows are not."""
+    n = table(spark, d, "part").groupBy("p_brand", "p_size").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("p_brand")
+    n = n.withColumn("up", F.sum("n").over(w.orderBy("p_size").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w))
+    return n.filter("up > all div 2").groupBy("p_brand").agg(F.min("p_size").alias("median"))
 
 
-def oracle_sql() -> dict:
-    return {}
+@query()
+def digitize_synthetic(spark, d):
+    """The whole way from annotations to a plant graph on the fixture sheet; no driver table."""
+    return fixture.plant_edges(spark)
