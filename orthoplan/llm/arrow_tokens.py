@@ -16,6 +16,7 @@ import functools
 import json
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import compress, count
 from operator import not_
@@ -37,6 +38,11 @@ CACHE = 1_000_000
 TOGETHER = 32
 #: Characters that are cut into words at a time.
 PORTION = 1 << 19
+#: Marks that may close a word; none begins a contraction.
+MARKS = ".,!?;:"
+# The characters that stand for bytes in a byte-level vocabulary; visible ones stand for themselves.
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: b for b in _SELF} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SELF)}
 #: White space other than the blank and the line feed.
 OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
@@ -62,13 +68,39 @@ class Encoder:
         self.by_piece = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and parts["normalizer"] is None and len(feed) == 1
         self.feed = feed[0] if len(feed) else None
         self.start = feed.tobytes()
+        self.model, self.code = self.tokenizer.model, self.dtype.char
         self.pieces: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
+    def word(self, text: str) -> bytes:
+        """One piece that the pre-tokenizer leaves whole: straight to the merges, in the alphabet that stands for bytes."""
+        return array(self.code, [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(BYTES))]).tobytes()
+
     def learn(self, new: list[str]) -> None:
-        """Pieces without their blank, or with their line feed."""
+        """Pieces without their blank, or with their line feed. Letters with or without closing marks need no splitting."""
+        others, pieces, feed = [], self.pieces, self.start
+        for x in new:
+            after_feed = x[0] == "\n"
+            whole = x[1:] if after_feed else x
+            core = whole.rstrip(MARKS)
+            if not core.isalpha():
+                others.append(x)
+                continue
+            if after_feed:
+                raw = feed + self.word(core)
+            elif (raw := pieces.get(core)) is None:
+                raw = pieces[core] = self.word(" " + core)
+            if tail := whole[len(core) :]:
+                if tail not in self.tails:
+                    self.tails[tail] = self.ids(tail).tobytes()
+                raw += self.tails[tail]
+            pieces[x] = raw
+        self.learn_together(others)
+
+    def learn_together(self, new: list[str]) -> None:
         width, feed = self.dtype.itemsize, self.start
         texts, groups = [], []
         for after_feed in (False, True):
@@ -97,7 +129,7 @@ class Encoder:
 
     def portion(self, texts: list[str]) -> list[bytes]:
         if len(self.pieces) > CACHE:
-            self.pieces = {}
+            self.pieces, self.tails = {}, {}
         cut, found, new = [], [], set()
         for t in texts:
             t = "\n" + t

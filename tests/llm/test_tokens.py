@@ -11,7 +11,8 @@ from orthoplan.llm import arrow_tokens, bpe, scratch
 
 TEXTS = [
     None, "", " ", "  \n ", "a", "Hello world", " leading and trailing ", "tabs\t here", "double  blanks  here\n\n new", "it's they're 'quoted' <|endoftext|> x",
-    "naïve été   nbsp wide", "数字 123 456abc", "x\n y", "a\x1c b", "line\nline two. Next, one!\n", "word " * 30_000, "a" * 70_000, "a" * 70_000 + " tail 12",
+    "naïve été   nbsp wide", "数字 123 456abc", "x\n y", "a\x1c b", "ends, marks... here!? yes; no: ok.\nStart. Éa, ﬁn ªº ٣٤ x٣ don't!",
+    "line\nline two. Next, one!\n", "word " * 30_000, "a" * 70_000, "a" * 70_000 + " tail 12",
 ]
 SCHEMA = "doc_id long, text string, source string, ids string"
 
