@@ -115,7 +115,7 @@ SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars,
 FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
 """)
 def review_queue(spark, d):
-    return review.queue(detections(spark, d), verdicts(spark, d)).select(F.col("id").alias("doc_id"), F.col("sheet").alias("source"), "rank")
+    return review.queue(detections(spark, d), verdicts(spark, d)).select(F.col("id").alias("doc_id"), F.col("sheet").alias("source"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""
@@ -154,7 +154,7 @@ SELECT doc_id, source, {VERDICT} AS verdict, CASE {VERDICT} WHEN 'pass' THEN 'po
        row_number() OVER (ORDER BY source, doc_id) AS rank FROM documents JOIN labels USING (doc_id)
 """)
 def training_export(spark, d):
-    return review.training_examples(verdicts(spark, d)).select(F.col("detection_id").alias("doc_id"), F.col("sheet").alias("source"), "verdict", "example", "rank")
+    return review.training_examples(verdicts(spark, d)).select(F.col("detection_id").alias("doc_id"), F.col("sheet").alias("source"), "verdict", "example", F.col("rank").cast("long").alias("rank"))
 
 
 @query("""
@@ -190,7 +190,7 @@ def boxes(spark, d, flag: str) -> DataFrame:
     li = table(spark, d, "lineitem").filter(F.col("l_returnflag") == flag)
     x, y = F.col("l_partkey") % 40, F.col("l_suppkey") % 30
     pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"))
-    return li.select(F.col("l_orderkey").alias("sheet"), pos.alias("pos"), g.box(x, y, x + F.col("l_quantity"), y + 20).alias("bbox"), F.col("l_linestatus").alias("cls"), F.col("l_linestatus").alias("string"))
+    return li.select(F.col("l_orderkey").alias("sheet"), pos.cast("long").alias("pos"), g.box(x, y, x + F.col("l_quantity"), y + 20).alias("bbox"), F.col("l_linestatus").alias("cls"), F.col("l_linestatus").alias("string"))
 
 
 PAIRS = f"""
@@ -302,7 +302,7 @@ def endpoint_attach(spark, d):
 
     o = table(spark, d, "orders")
     ends = o.select((F.col("o_orderkey") % 20).alias("sheet"), F.col("o_orderkey").alias("run"), F.lit(0).alias("end"), g.point(F.col("o_orderkey") % 1000, F.col("o_custkey") % 400).alias("p"))
-    return attach_ends(ends, part_boxes(spark, d), by=["sheet"]).select("run", "terminal", "nozzle")
+    return attach_ends(ends, part_boxes(spark, d), by=["sheet"]).select("run", "terminal", F.col("nozzle").cast("long").alias("nozzle"))
 
 
 @query("""
@@ -464,7 +464,7 @@ def polyline_length(spark, d):
 
 
 @query(f"""
-SELECT l_orderkey, l_partkey, l_extendedprice, i, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1 FROM (
+SELECT l_orderkey, l_partkey, l_extendedprice, i, round(x0::DOUBLE, 6) AS x0, round(y0::DOUBLE, 6) AS y0, round(x1::DOUBLE, 6) AS x1, round(y1::DOUBLE, 6) AS y1 FROM (
   SELECT l_orderkey, l_partkey, l_extendedprice, 0 AS i, ax AS x0, ay AS y0, bx AS x1, by_ AS y1 FROM ({VERTICES})
   UNION ALL SELECT l_orderkey, l_partkey, l_extendedprice, 1, bx, by_, cx, cy FROM ({VERTICES}))
 """)

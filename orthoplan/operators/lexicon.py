@@ -77,7 +77,7 @@ def decoded(texts: DataFrame, grammar: dict[str, str]) -> DataFrame:
         return s.map(lambda v: str(list(v)))
 
     d = texts.withColumn("_o", outcome("string", "text_class"))
-    kind, fixed, quoted, cls = F.col("_o.kind"), F.element_at("_o.fits", 1), shown("string"), F.col("text_class")
+    kind, fixed, quoted, cls = F.col("_o.kind"), F.try_element_at("_o.fits", F.lit(1)), shown("string"), F.col("text_class")
     fix = F.when(kind == "one", tx.swaps(F.col("string"), fixed))
     note = (
         F.when(kind == "exact", F.concat(F.lit("matches "), cls, F.lit(" grammar")))
