@@ -29,6 +29,8 @@ WORDS = 16
 CELLS = 24
 #: Documents of a bucket of neighbouring ids, on average.
 BUCKET = 4096
+#: Sorted entries that are summed together.
+BLOCK = 16
 #: Rounds of peeling; a sketch that can be peeled at its load takes far fewer.
 ROUNDS = 30
 PIECE = rf"(?:[^ \n]*+ ){{0,{WORDS - 1}}}[^ \n]*+[ \n]?"
@@ -62,8 +64,8 @@ def _cell(h, r, third, sign, k):
 _TYPE = "array<struct<cell:bigint,n:int,key:bigint,check:bigint>>"
 
 
-def cells(rows: Column) -> Column:
-    """Entries summed by cell; empty cells go."""
+def folded(rows: Column) -> Column:
+    """Sorted entries summed by cell; empty cells go. Appending copies, so for few cells only."""
 
     def closed(acc):
         cur = acc["cur"]
@@ -77,11 +79,37 @@ def cells(rows: Column) -> Column:
 
     nothing = F.struct(F.lit(-1).cast("long").alias("cell"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("check"))
     start = F.struct(F.array().cast(_TYPE).alias("done"), nothing.alias("cur"))
-    return F.aggregate(F.sort_array(rows), start, add, closed)
+    return F.aggregate(rows, start, add, closed)
+
+
+def cells(rows: Column) -> Column:
+    """Entries summed by cell, block by block of the sorted entries, so that time follows their number.
+
+    A block begins behind the entries that belong to the cell before it. Only a cell with more entries than a block has
+    could come out in two parts; the next round of peeling sums those again.
+    """
+
+    def begin(e, i):
+        """Place (from 0) of the first entry at or behind BLOCK * i that begins a cell."""
+        at = i * BLOCK
+        before = F.get(e, at - 1)["cell"]
+        return F.when(i == 0, F.lit(0)).otherwise(F.least(F.size(e), at + F.size(F.filter(F.slice(e, at + 1, F.lit(BLOCK)), lambda x: x["cell"] == before))))
+
+    def blocks(e):
+        last = F.floor((F.size(e) - 1) / BLOCK).cast("int")
+
+        def block(i):
+            bounds = F.struct(begin(e, i).alias("lo"), F.when(i == last, F.size(e)).otherwise(begin(e, i + 1)).alias("hi"))
+            return let(bounds, lambda b: folded(F.slice(e, b["lo"] + 1, F.greatest(F.lit(0), b["hi"] - b["lo"]))))
+
+        return F.when(F.size(e) == 0, e).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), last), block)))
+
+    return let(F.sort_array(rows), blocks)
 
 
 def sketch(keys: Column, third: Column, salt: int = 0) -> Column:
-    return cells(entries(keys, 1, third, salt))
+    """Of few cells."""
+    return folded(F.sort_array(entries(keys, 1, third, salt)))
 
 
 def as_text(keys: Column, sketched: Column) -> Column:
@@ -90,8 +118,17 @@ def as_text(keys: Column, sketched: Column) -> Column:
     return F.concat_ws(";", F.size(keys).cast("string"), F.array_join(parts, ","))
 
 
+def total(rows: Column, of) -> Column:
+    """Exclusive or of a number of each row."""
+    return F.aggregate(rows, F.lit(0).cast("long"), lambda acc, r: acc.bitwiseXOR(of(r)))
+
+
 def recovered(difference: Column, third: Column, salt: int) -> Column:
-    """Digests that peeling takes out of a subtracted sketch, or null if some remain."""
+    """Digests that peeling takes out of a subtracted sketch, or null if some remain.
+
+    Each key lies once in each third, so the first third's exclusive or, of digests and of checks, is that of all keys
+    left: when the keys of a round account for it, the rest is empty and need not be summed once more.
+    """
 
     def pure(state):
         return F.filter(state["cells"], lambda c: c["n"].isin(1, -1) & (c["check"] == F.xxhash64(c["key"])))
@@ -100,8 +137,12 @@ def recovered(difference: Column, third: Column, salt: int) -> Column:
         return F.array_distinct(F.transform(F.filter(good, lambda c: c["n"] == sign), lambda c: c["key"]))
 
     def peel(state, keys):
+        both = F.concat(keys["a"], keys["b"])
+        first = F.filter(state["cells"], lambda c: c["cell"] < third)
+        done = (total(first, lambda c: c["key"]) == total(both, lambda k: k)) & (total(first, lambda c: c["check"]) == total(both, lambda k: F.xxhash64(k)))
         left = F.concat(state["cells"], entries(keys["a"], -1, third, salt), entries(keys["b"], 1, third, salt))
-        return F.struct(cells(left).alias("cells"), (state["found"] + F.size(keys["a"]) + F.size(keys["b"])).alias("found"), (F.size(keys["a"]) + F.size(keys["b"]) == 0).alias("stuck"))
+        rest = F.when(done, F.array().cast(_TYPE)).otherwise(cells(left))
+        return F.struct(rest.alias("cells"), (state["found"] + F.size(keys["a"]) + F.size(keys["b"])).alias("found"), (F.size(keys["a"]) + F.size(keys["b"]) == 0).alias("stuck"))
 
     def step(state, _):
         go = (F.size(state["cells"]) > 0) & ~state["stuck"]
@@ -118,15 +159,15 @@ def negative(sketched: Column) -> Column:
 
 def likeness(a: Column, b: Column, sketch_a: Column, sketch_b: Column, differ: float) -> Column:
     """Of two sets of digests by their sketches: the kept ones first, if about the share differ of all digests is expected
-    to remain and fits in them; then larger ones. Larger sketches have more empty cells, which cost nothing here, and are
-    peeled in fewer rounds."""
-    total = F.size(a) + F.size(b)
+    to remain and fits in them; then larger ones. Larger sketches have more empty cells, which cost nothing here, and most
+    are peeled in one round."""
+    size = F.size(a) + F.size(b)
     third = F.lit(CELLS // 3).cast("long")
-    tries = [F.when(total * differ <= 0.8 * CELLS, recovered(cells(F.concat(sketch_a, negative(sketch_b))), third, 0))]
-    for salt, factor in ((1, 3), (2, 6), (3, 12)):
-        larger = (total * factor + CELLS).cast("long")
+    tries = [F.when(size * differ <= 0.8 * CELLS, recovered(folded(F.sort_array(F.concat(sketch_a, negative(sketch_b)))), third, 0))]
+    for salt, factor in ((1, 20), (2, 40), (3, 80)):
+        larger = (size * factor + CELLS).cast("long")
         tries.append(let(larger, lambda t, s=salt: recovered(cells(F.concat(entries(a, 1, t, s), entries(b, -1, t, s))), t, s)))
-    return F.when(a == b, F.lit(1.0)).otherwise(1 - F.coalesce(*tries) / total)
+    return F.when(a == b, F.lit(1.0)).otherwise(1 - F.coalesce(*tries) / size)
 
 
 def with_bucket(d: DataFrame) -> DataFrame:
