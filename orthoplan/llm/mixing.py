@@ -53,6 +53,7 @@ def mix(docs: DataFrame, weights: list[int] | None = None, most: float = 3.0, se
     d = docs.drop(*[c for c in ADDED if c in docs.columns])
     d = d.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     d = d.withColumn("_block", F.coalesce(F.floor(F.col("doc_id") / BLOCK).cast("long"), F.lit(-(2**62))))
+    d = d.withColumn("_tie", F.xxhash64("text"))  # so that a query without texts does not move them
     d = d.withColumn("_none", F.col("source").isNull()).withColumn("_name", F.coalesce("source", F.lit("")))
     key = ["_none", "_name", "size", "_block"]
     blocks = d.groupBy(*key).agg(F.count("*").alias("_n"))
@@ -63,7 +64,7 @@ def mix(docs: DataFrame, weights: list[int] | None = None, most: float = 3.0, se
     rates = weighted(sources, weights, most).withColumn("_u", offset(seed))
     rates = rates.select(F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_name"), "source_size", "target", "_u")
     starts = blocks.drop("_n").join(sizes, key[:3]).join(rates, key[:2]).withColumn("_before", F.col("_in_size") + F.col("_in_source")).drop("_in_size", "_in_source")
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy("doc_id", F.xxhash64("text")))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("doc_id", "_tie"))
     out = d.join(starts, key).withColumn("_i", rank + F.col("_before"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = F.floor(F.col("_i") * rate + F.col("_u")) - F.floor((F.col("_i") - 1) * rate + F.col("_u"))
