@@ -77,6 +77,8 @@ class Page:
                 body += f"<{inner}{name}>" + r.choice([f"<b>{self.words(1, 2)}</b> ", f"<cite>{self.words(1, 2)}</cite>", ""]) + (self.words(5, 60) if inner == "p" else f"<p>{self.words(5, 60)}</p>") + f"</{inner}>"
         else:
             body = r.choice([self.words(3, 30), f"<p>{self.words(4, 40)}</p>", f"<a href='/x'>{self.words(2, 9)}</a>", f"{self.words(3, 25)} <button>{self.words(1, 1)}</button>", f"<b>{self.words(1, 3)}</b><span>{self.words(4, 20)}</span>"])
+        if tag == "p" and "<p>" in body:  # no paragraph stands in another
+            body = body.replace("<p>", "").replace("</p>", "")
         self.put(f"<{tag}{attributes}>{body}</{tag}>", False)
 
     def paragraph(self) -> None:
@@ -145,7 +147,7 @@ def page(seed: int) -> list[tuple[str, bool]]:
     if tag == "div" and r.random() < 0.3:
         p.put("<div>", True)
         opened.append("div")
-    p.article(["ad", "share", "notice", "form", "sidebar"] if r.random() < 0.5 else [])
+    p.article(["ad", "share", "notice", "form", "sidebar", "menu", "comments"] if r.random() < 0.5 else [])
     if tag and r.random() < 0.2:
         p.boilerplate(r.choice(["comments", "share", "form", "footer"]))
     p.put("".join(f"</{t}>" for t in ([tag] if tag else []) + opened[::-1]), False)
