@@ -6,7 +6,7 @@ Every stage takes (spark, docs, sf_dir) and works on all rows of docs. All but t
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orthoplan.llm import bpe, language_id, line_templates, mixing, near_dedup, scratch
@@ -32,10 +32,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays. Of rows with the same id, one stays, too."""
-    found = near_dedup.near_duplicates(docs, percent=75).filter("kept").select("doc_id").distinct()
-    kept = docs.join(found.hint("merge"), docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
-    return kept.select(*COLUMNS)
+    """One document of each group of near-duplicates stays. Of rows with the same id one stays, too; rows without an id all do."""
+    found = near_dedup.near_duplicates(docs, percent=75).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    kept = docs.filter("doc_id IS NOT NULL").join(found.hint("merge"), "doc_id")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "source", "lang")))
+    kept = kept.withColumn("_row", first).filter("_row = 1")
+    return kept.select(*COLUMNS).unionByName(docs.filter("doc_id IS NULL").select(*COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
