@@ -14,7 +14,7 @@ from orthoplan.functions import geometry as g
 from orthoplan.functions import text as tx
 from orthoplan.operators.graph import components_by
 
-COMPONENT = "label-factory:hazop-ai-topology"
+COMPONENT = "label-factory:topology"
 DPI = 150
 # Kinds of node, half extents of synthesized boxes in points, line classes of stroke styles.
 TERMINALS = ["equipment", "valve", "instrument", "off-page", "nozzle"]
@@ -68,7 +68,7 @@ def symbol_labels(nodes: DataFrame, source: str = "artifact", scale: float = DPI
     n = nodes.withColumn("kind", known).filter(F.col("kind").isin(*TERMINALS))
     return n.select(
         F.col("page").alias("sheet"), "pos", tx.node_label(F.col("page"), F.col("id")).alias("id"), symbol_class(F.col("kind"), F.col("shape"), F.col("subclass")).alias("symbol_class"), scaled_box(node_box(F.col("kind"), F.col("xy"), F.col("bbox")), scale).alias("bbox"),
-        F.lit(1.0).alias("confidence"), provenance(F.concat(F.lit(f"hazop-ai {source} node "), F.col("id").cast("string"), F.lit(" ("), F.col("kind"), F.lit(")"))).alias("provenance"),
+        F.lit(1.0).alias("confidence"), provenance(F.concat(F.lit(f"topology {source} node "), F.col("id").cast("string"), F.lit(" ("), F.col("kind"), F.lit(")"))).alias("provenance"),
     )
 
 
@@ -78,7 +78,7 @@ def line_labels(edges: DataFrame, source: str = "artifact", scale: float = DPI /
     pos = F.col("pos").cast("string")
     return edges.filter(style != "internal").select(
         F.col("page").alias("sheet"), "pos", F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("-edge"), pos).alias("id"), F.coalesce(classes[style], style).alias("line_class"),
-        F.transform("points", lambda p: g.point(p[0] * scale, p[1] * scale)).alias("polyline"), F.lit(1.0).alias("confidence"), provenance(F.concat(F.lit(f"hazop-ai {source} edge "), pos, F.lit(" ("), style, F.lit(")"))).alias("provenance"),
+        F.transform("points", lambda p: g.point(p[0] * scale, p[1] * scale)).alias("polyline"), F.lit(1.0).alias("confidence"), provenance(F.concat(F.lit(f"topology {source} edge "), pos, F.lit(" ("), style, F.lit(")"))).alias("provenance"),
     )
 
 
@@ -106,8 +106,8 @@ def text_labels(nodes: DataFrame, edges: DataFrame, spans: DataFrame, source: st
     cls = F.when(F.col("known").isNotNull(), F.col("known")).when(F.col("h").isNotNull(), "instrument_tag").otherwise("free_text")
     q = lambda c: F.concat(F.lit("'"), c, F.lit("'"))
     why = (
-        F.when(F.col("known").isNotNull(), F.concat(F.lit("; matches "), "known", F.lit(" "), q(F.col("string")), F.lit(f" from hazop-ai {source} "), "detail"))
-        .when(F.col("h").isNotNull(), F.concat(F.lit("; token of instrument tag "), q(F.col("h.node_tag")), F.lit(f" (hazop-ai {source} node "), F.col("h.node").cast("string"), F.lit(")")))
+        F.when(F.col("known").isNotNull(), F.concat(F.lit("; matches "), "known", F.lit(" "), q(F.col("string")), F.lit(f" from topology {source} "), "detail"))
+        .when(F.col("h").isNotNull(), F.concat(F.lit("; token of instrument tag "), q(F.col("h.node_tag")), F.lit(f" (topology {source} node "), F.col("h.node").cast("string"), F.lit(")")))
         .otherwise("; matches no artifact string")
     )
     where = F.concat(F.lit("PDF text layer span "), F.col("pos").cast("string"), F.lit(" of page "), F.col("page").cast("string"))
@@ -136,7 +136,7 @@ def _linked(pairs: DataFrame, source: str) -> DataFrame:
     some = lambda c: F.when(F.size(c) > 0, F.col(c))
     return pairs.select(
         F.col("page").alias("sheet"), F.when(down, F.col("b")).otherwise(F.col("a")).alias("source"), F.when(down, F.col("a")).otherwise(F.col("b")).alias("target"), F.when(known, "known").otherwise("unknown").alias("direction"),
-        F.when(known, some("sources")).alias("direction_sources"), some("numbers").alias("line_numbers"), F.lit(1.0).alias("confidence"), F.concat(F.lit(f"{COMPONENT}: hazop-ai {source} edges "), edges).alias("provenance"),
+        F.when(known, some("sources")).alias("direction_sources"), some("numbers").alias("line_numbers"), F.lit(1.0).alias("confidence"), F.concat(F.lit(f"{COMPONENT}: topology {source} edges "), edges).alias("provenance"),
     )
 
 

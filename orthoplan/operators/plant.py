@@ -14,6 +14,7 @@ from orthoplan.functions import text as tx
 from orthoplan.operators.assembly import COMPONENT, CONNECTOR, EQUIPMENT, INSTRUMENT, SHEET, Assembly
 from orthoplan.operators.graph import components_by
 
+# Fixed value: the contract's schema name.
 SCHEMA = "hazop-l1/dexpi-aligned/v1"
 CONSTRAINT = "CREATE CONSTRAINT plant_item_tag IF NOT EXISTS FOR (n:PlantItem) REQUIRE n.tag IS UNIQUE"
 
