@@ -45,19 +45,26 @@ def gridded_pairs(pred: DataFrame, truth: DataFrame, cell: float, least: float =
 
 
 def greedy_match(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """One-to-one: the best overlap first, then by place. Sequential within a sheet, on the pruned pairs only."""
+    """One-to-one: the best overlap first, then by place. Sequential within a sheet, on the pruned pairs only; sheets stream
+    through a task in order, so none is a call or a frame of its own."""
     by = by or ["sheet"]
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_p, used_t, keep = set(), set(), []
-        for i, p, t in pdf.sort_values(["iou", "p", "t"], ascending=[False, True, True])[["p", "t"]].itertuples():
-            if p not in used_p and t not in used_t:
-                used_p.add(p)
-                used_t.add(t)
-                keep.append(i)
-        return pdf.loc[keep]
-
-    return pairs.groupBy(*by).applyInPandas(match, pairs.schema)
+    def match(batches):
+        sheet, used_p, used_t = None, set(), set()
+        for pdf in batches:
+            keep = []
+            for *key, p, t in zip(*(pdf[c] for c in by), pdf["p"], pdf["t"]):
+                if key != sheet:
+                    sheet, used_p, used_t = key, set(), set()
+                free = p not in used_p and t not in used_t
+                if free:
+                    used_p.add(p)
+                    used_t.add(t)
+                keep.append(free)
+            yield pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
+
+    ordered = pairs.repartition(*by).sortWithinPartitions(*by, F.desc("iou"), "p", "t")
+    return ordered.mapInPandas(match, pairs.schema)
 
 
 def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
