@@ -30,18 +30,27 @@ def components_by(edges: DataFrame, by: list[str]) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges(a, b) -> id, component (the smallest id reachable), by label spreading with pointer jumping.
+    """edges(a, b) -> id, component (the smallest id reachable), over a whole table.
 
-    Each round takes the least label among neighbours and then the label's own label, so rounds grow with the logarithm
-    of the longest path; each is a written table, and only the number of changes reaches the driver.
+    Every vertex is pointed at the smallest of its neighbours, first by its larger ones, then by its smaller ones, until
+    nothing changes: a few rounds, that grow with the logarithm of the longest path. Each round is a written table; its
+    count and check sum alone reach the driver. Single vertices come back as their own component.
     """
-    e = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(e.select(F.col("a").alias("id"), F.col("a").alias("label")).distinct(), "labels")
-    while True:
-        low = e.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("low"))
-        step = labels.join(low, "id").select("id", "label", F.least("label", "low").alias("new"))
-        jump = step.select(F.col("id").alias("new"), F.col("new").alias("further"))
-        new = written(step.join(jump, "new").select("id", "label", F.least("new", "further").alias("to")), "labels")
-        if new.filter("label <> to").isEmpty():
-            return new.select("id", F.col("to").alias("component"))
-        labels = new.select("id", F.col("to").alias("label"))
+
+    def state(e: DataFrame):
+        return tuple(e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
+
+    alone = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    e = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    seen = state(e)
+    while seen[0]:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        up = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = up.groupBy("u").agg(F.min("v").alias("m"))
+        down = up.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        e = written(down.select("e.u", "e.v").filter("u <> v").distinct(), "edges")
+        before, seen = seen, state(e)
+        if seen == before:
+            break
+    return alone.join(e.select(F.col("u").alias("id"), "v"), "id", "left").select("id", F.coalesce("v", "id").alias("component"))
