@@ -20,6 +20,8 @@ the same component. An empty table gives an empty result; other columns are not
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +34,10 @@ from orthoplan.llm.shingles import mixed, shared, shingles
 
 #: Minwise coordinates of a sketch.
 COORDINATES = 128
-TREES = 8
+#: Wanted share, of pairs right at the threshold, that meet in a common child of some root.
+RECALL = 0.99999
+#: Children of all roots, at most: a bit each.
+MOST_SLOTS = 62
 LEVELS = 6
 #: Nodes up to this size are compared exhaustively at any level.
 SMALL = 4096
@@ -72,19 +77,36 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n long, d1 long, d2 long, sketch binary, low binary")
 
 
-def roots_of(seed: int) -> list[int]:
-    return mixed(np.arange(TREES, dtype=np.uint64) + np.uint64(seed << 32)).tolist()
-
-
 def picks(node: int, level: int, threshold: float) -> np.ndarray:
     """The coordinates that a node branches on."""
     coordinate = mixed(np.arange(COORDINATES, dtype=np.uint64) + np.uint64(1 + 1000 * level))
     return np.flatnonzero(mixed(coordinate ^ np.uint64(node)) < np.uint64(int(2**64 / (threshold * COORDINATES))))
 
 
+def slots_for(threshold: float, recall: float = RECALL) -> int:
+    """How many different coordinates the roots need: a pair at the threshold agrees in each with that probability."""
+    n = math.ceil(math.log(1 - recall) / math.log(1 - threshold)) if threshold < 1 else 1
+    if n > MOST_SLOTS:
+        raise ValueError(f"a threshold of {threshold} needs {n} coordinates for a recall of {recall}; {MOST_SLOTS} are the most")
+    return n
+
+
+def roots_of(seed: int, threshold: float) -> list[int]:
+    """Roots drawn until their picks are as many different coordinates as the recall needs; a root without picks, with one that is taken or with too many is drawn anew."""
+    roots, taken, at, wanted = [], set(), 0, slots_for(threshold)
+    while len(taken) < wanted:
+        root = int(mixed(np.array([at + (seed << 32)], np.uint64))[0])
+        own = set(picks(root, 0, threshold).tolist())
+        if own and not own & taken and len(own | taken) <= wanted:
+            roots.append(root)
+            taken |= own
+        at += 1
+    return roots
+
+
 def slots(seed: int, threshold: float) -> np.ndarray:
     """The coordinate of each child of the roots, tree by tree."""
-    return np.concatenate([picks(v, 0, threshold) for v in roots_of(seed)])
+    return np.concatenate([picks(v, 0, threshold) for v in roots_of(seed, threshold)])
 
 
 def children(nodes: DataFrame, level: int, threshold: float, seed: int) -> DataFrame:
@@ -93,7 +115,7 @@ def children(nodes: DataFrame, level: int, threshold: float, seed: int) -> DataF
 
     def rows(batches):
         picked: dict[int, np.ndarray] = {}
-        roots = roots_of(seed)
+        roots = roots_of(seed, threshold)
 
         def of(node: int) -> np.ndarray:
             if node not in picked:

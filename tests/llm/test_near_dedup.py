@@ -74,3 +74,11 @@ def test_null_and_repeated_ids_and_empty_table(spark):
 def test_components_of_a_long_chain(spark):
     chain = spark.range(300).selectExpr("300 - id AS a", "299 - id AS b")
     assert components(chain.unionByName(spark.createDataFrame([(1000, 2000), (7, 7)], "a long, b long"))).groupBy("component").count().orderBy("component").collect() == [(0, 301), (1000, 2)]
+
+
+def test_roots_reach_the_stated_recall():
+    for percent in (40, 75, 95):
+        for seed in range(20):
+            roots = near_dedup.roots_of(seed, percent / 100)
+            assert all(len(near_dedup.picks(v, 0, percent / 100)) for v in roots)
+            assert 1 - (1 - percent / 100) ** len(set(near_dedup.slots(seed, percent / 100))) >= 0.99999
