@@ -1,13 +1,12 @@
 """Near-duplicate documents by a chosen-path set similarity join over minwise tokens.
 
 Documents with equal shingle sets are one class from the start and only its smallest id takes part. Every tree starts
-with all classes in one node. A node picks minwise coordinates at random, each with probability 1 / (threshold x number
-of coordinates), and sends a class to a child for each picked coordinate, by the class's value there: a pair of the
-threshold's similarity is expected in one common child, so it survives a chain of levels, while unlike pairs part.
-Every node is first linked through pivots (its smallest id, for each chunk of it). Of the nodes that still hold several
-components, small ones are compared exhaustively, chunk by chunk, and large ones branch on; what is left at the last
-level is compared exhaustively, whatever its size. Independent trees repeat this to reach the target recall. Sketches
-only choose what is compared; every link is confirmed on the full shingle sets of the two texts.
+with all classes in its root. A root picks minwise coordinates at random, each with probability 1 / (threshold x number
+of coordinates), and sends a class to a child for each picked coordinate, by the class's value there: a pair agrees in
+each with the probability of its similarity. Trees are drawn until their picks reach the wanted recall at the threshold.
+Every child is first linked through pivots (its smallest id, for each chunk of it). Children that still hold several
+components are compared exhaustively, chunk against chunk, whatever their size: paths end there, as each further level
+would lose pairs. Sketches only choose what is compared; every link is confirmed on the full shingle sets of the texts.
 
 Skew: rows of a large node are spread over chunks, groups of equal sets are one row, and joins back from a group to its
 rows are plain joins that adaptive execution splits. Pairs within a group are not listed: once connected, members are
@@ -38,9 +37,6 @@ COORDINATES = 128
 RECALL = 0.99999
 #: Children of all roots, at most: a bit each.
 MOST_SLOTS = 62
-LEVELS = 6
-#: Nodes up to this size are compared exhaustively at any level.
-SMALL = 4096
 #: Rows of a chunk of a node, about; two chunks at a time are held in memory.
 CHUNK = 1024
 #: Groups up to this size are compared all at once, larger ones row by row.
@@ -77,10 +73,10 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n long, d1 long, d2 long, sketch binary, low binary")
 
 
-def picks(node: int, level: int, threshold: float) -> np.ndarray:
-    """The coordinates that a node branches on."""
-    coordinate = mixed(np.arange(COORDINATES, dtype=np.uint64) + np.uint64(1 + 1000 * level))
-    return np.flatnonzero(mixed(coordinate ^ np.uint64(node)) < np.uint64(int(2**64 / (threshold * COORDINATES))))
+def picks(root: int, threshold: float) -> np.ndarray:
+    """The coordinates that a root branches on."""
+    coordinate = mixed(np.arange(COORDINATES, dtype=np.uint64) + np.uint64(1))
+    return np.flatnonzero(mixed(coordinate ^ np.uint64(root)) < np.uint64(int(2**64 / (threshold * COORDINATES))))
 
 
 def slots_for(threshold: float, recall: float = RECALL) -> int:
@@ -96,7 +92,7 @@ def roots_of(seed: int, threshold: float) -> list[int]:
     roots, taken, at, wanted = [], set(), 0, slots_for(threshold)
     while len(taken) < wanted:
         root = int(mixed(np.array([at + (seed << 32)], np.uint64))[0])
-        own = set(picks(root, 0, threshold).tolist())
+        own = set(picks(root, threshold).tolist())
         if own and not own & taken and len(own | taken) <= wanted:
             roots.append(root)
             taken |= own
@@ -106,41 +102,23 @@ def roots_of(seed: int, threshold: float) -> list[int]:
 
 def slots(seed: int, threshold: float) -> np.ndarray:
     """The coordinate of each child of the roots, tree by tree."""
-    return np.concatenate([picks(v, 0, threshold) for v in roots_of(seed, threshold)])
+    return np.concatenate([picks(v, threshold) for v in roots_of(seed, threshold)])
 
 
-def children(nodes: DataFrame, level: int, threshold: float, seed: int) -> DataFrame:
-    """nodes(id, node, sketch) -> node, id, slot of the next level; at level 0 each row stands for the root of every tree,
-    and slot is the child's place in slots(), the same for all rows; below, it is -1."""
+def children(classes: DataFrame, threshold: float, seed: int) -> DataFrame:
+    """classes(id, sketch) -> node, id, slot: a row for each child of a root; slot is the child's place in slots()."""
 
     def rows(batches):
-        picked: dict[int, np.ndarray] = {}
-        roots = roots_of(seed, threshold)
-
-        def of(node: int) -> np.ndarray:
-            if node not in picked:
-                if len(picked) > 100_000:
-                    picked.clear()
-                picked[node] = picks(node, level, threshold)
-            return picked[node]
-
+        places = slots(seed, threshold)
+        roots = np.concatenate([np.full(len(picks(v, threshold)), v, np.uint64) for v in roots_of(seed, threshold)])
         for b in batches:
-            own = [None] * b.num_rows if not level else b.column("node").to_pylist()
             values = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint32).reshape(-1, COORDINATES).astype(np.uint64)
-            at, keys, places = [], [], []
-            for i, node in enumerate(own):
-                slot = 0
-                for v in roots if node is None else (node & (1 << 64) - 1,):
-                    if len(c := of(v)):
-                        at.append(np.full(len(c), i))
-                        places += range(slot, slot := slot + len(c)) if node is None else [-1] * len(c)
-                        keys.append(mixed(mixed(values[i, c] + (c.astype(np.uint64) << np.uint64(32))) ^ np.uint64(v)))
-            if at:
-                ids = b.column("id").take(pa.array(np.concatenate(at)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), ids, pa.array(places, pa.int32())], ["node", "id", "slot"])
-
-    out = nodes.mapInArrow(rows, "node long, id long, slot int")
-    return out.distinct() if level else out
+            nodes = mixed(mixed(values[:, places] + (places.astype(np.uint64) << np.uint64(32))) ^ roots)
+            ids = b.column("id").take(pa.array(np.repeat(np.arange(b.num_rows), len(places))))
+            slot = np.tile(np.arange(len(places), dtype=np.int32), b.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().astype(np.int64)), ids, pa.array(slot)], ["node", "id", "slot"])
+
+    return classes.mapInArrow(rows, "node long, id long, slot int")
 
 
 def bytes_matrix(t: pa.Table) -> np.ndarray:
@@ -188,7 +166,7 @@ MEMBERS = "node long, c1 int, c2 int, slot int, ready long, chunk int, id long,
 
 def candidates(t: pa.Table, edges: np.ndarray, least: int, coordinates: np.ndarray):
     """Places (i, j) of alike rows of one group, from different components and, in a group of two chunks, from different
-    chunks. Of the first level's nodes that two rows have in common only the first (among those compared) gives the pair."""
+    chunks. Of the nodes that two rows have in common only the first (among those compared) gives the pair."""
     comp, chunk, full = t.column("component").to_numpy(), t.column("chunk").to_numpy(), full_matrix(t)
     sk, value = full.astype(np.uint8), full[:, coordinates]
     slot, ready = t.column("slot").to_numpy(), t.column("ready").to_numpy()
@@ -201,7 +179,7 @@ def candidates(t: pa.Table, edges: np.ndarray, least: int, coordinates: np.ndarr
         ok = (sk[i] == sk[j]).sum(axis=1) >= least
         i, j = (i[ok] if isinstance(i, np.ndarray) else np.full(np.count_nonzero(ok), i)), j[ok]
         common = ((value[i] == value[j]) @ bit) & ready[i]
-        first = (slot[i] < 0) | (common & -common == np.int64(1) << np.maximum(slot[i], 0).astype(np.int64))
+        first = common & -common == np.int64(1) << slot[i].astype(np.int64)
         return i[first], j[first]
 
     for d in range(1, TINY):
@@ -326,8 +304,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, seed: int = 3) -> DataFr
     whole = classes.select("id", "sketch").dropDuplicates(["id"])
     coordinates = slots(seed, threshold)
 
-    # classes in the first level's nodes that hold more than one
-    first = scratch.written(children(classes.select("id", "sketch"), 0, threshold, seed), "first-nodes")
+    # classes in the nodes that hold more than one
+    first = scratch.written(children(classes.select("id", "sketch"), threshold, seed), "first-nodes")
     nodes = scratch.written(first.join(first.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), "node"), "nodes")
     chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / CHUNK)).cast("int")
     same_id = known.join(classes.select("d1", "d2", "n", "id"), ["d1", "d2", "n"]).groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("a", "b")
@@ -336,30 +314,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, seed: int = 3) -> DataFr
     linked = scratch.written(components(links), "components")
 
     # what stays apart in common nodes
-    more = []
-    for level in range(1, LEVELS + 1):
-        with_component = nodes.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_ = with_component.groupBy("node").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("node", "size")
-        here = scratch.written(with_component.drop("size").join(open_, "node"), "open-nodes")
-        last = level == LEVELS
-        ready = here if last else here.filter(F.col("size") <= SMALL)
-        if level == 1:
-            in_slots = ready.groupBy("id").agg(F.expr("bit_or(shiftleft(1L, slot)) AS ready"))
-            ready = ready.join(in_slots, "id")
-        else:
-            ready = ready.withColumn("ready", F.lit(0).cast("long"))
-        n_chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-        ready = ready.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), n_chunks - 1)))
-        ready = ready.withColumn("c1", F.least("chunk", "other")).withColumn("c2", F.greatest("chunk", "other"))
-        more.append(with_candidates(ready.join(whole, "id").select(*GROUP, "slot", "ready", "chunk", "id", "component", "sketch"), least, coordinates))
-        large = here.filter(F.col("size") > SMALL)
-        if last or large.isEmpty():
-            break
-        below = children(large.select("id", "node").join(whole, "id"), level, threshold, seed)
-        nodes = scratch.written(below.join(below.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), "node"), "nodes")
-    late = more[0]
-    for m in more[1:]:
-        late = late.unionByName(m)
+    with_component = nodes.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_ = with_component.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("node")
+    here = scratch.written(with_component.join(open_, "node"), "open-nodes")
+    in_slots = here.groupBy("id").agg(F.expr("bit_or(shiftleft(1L, slot)) AS ready"))
+    n_chunks = F.ceil(F.col("size") / CHUNK).cast("int")
+    ready = here.join(in_slots, "id").withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), n_chunks - 1)))
+    ready = ready.withColumn("c1", F.least("chunk", "other")).withColumn("c2", F.greatest("chunk", "other"))
+    late = with_candidates(ready.join(whole, "id").select(*GROUP, "slot", "ready", "chunk", "id", "component", "sketch"), least, coordinates)
     late = scratch.written(late, "candidates")
     if not late.isEmpty():
         sets_of = scratch.written(full_sets(docs, late.select(F.col("id").alias("doc_id")).distinct()), "full-sets")

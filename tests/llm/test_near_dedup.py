@@ -80,5 +80,23 @@ def test_roots_reach_the_stated_recall():
     for percent in (40, 75, 95):
         for seed in range(20):
             roots = near_dedup.roots_of(seed, percent / 100)
-            assert all(len(near_dedup.picks(v, 0, percent / 100)) for v in roots)
+            assert all(len(near_dedup.picks(v, percent / 100)) for v in roots)
             assert 1 - (1 - percent / 100) ** len(set(near_dedup.slots(seed, percent / 100))) >= 0.99999
+
+
+def test_large_nodes_lose_no_pair(spark, monkeypatch):
+    """Pairs just over the threshold that share a passage with many texts: their common values lie in large nodes only."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage, rows = [word() for _ in range(100)], []
+    for g in range(400):
+        own = [word() for _ in range(42)]
+        for _ in range(2):
+            rows.append((rng.randrange(10**12), " ".join(passage + own), 1, "x"))
+            own = own[:24] + [word() for _ in range(18)]
+    monkeypatch.setattr(near_dedup, "SMALL", 32, raising=False)
+    monkeypatch.setattr(near_dedup, "CHUNK", 64)
+    want = brute([r[:2] for r in rows])
+    assert len(set(want.values())) == 400
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
