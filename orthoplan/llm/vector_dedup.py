@@ -1,15 +1,16 @@
 """Near-duplicate vectors by sorted projection passes.
 
-In each pass the vectors of a label are ordered lexicographically by the signs of their projections on random
-directions, and each is compared, in double precision, with a bounded window of its neighbours in that order. Pairs at
-the threshold are linked, links of all passes are united. The number of passes follows from the largest label's size,
-the window and the wanted recall for a pair right at the threshold. Equal vectors are one row from the start.
+In each pass the vectors of a label are ordered by the signs of their projections on random directions, and all that
+share the leading signs are compared with each other in double precision, chunk against chunk. Pairs at the threshold are
+linked, links of all passes are united. How many signs lead follows from the largest label's size, so that evenly spread
+vectors fall into runs of about a window; a dense topic makes longer runs, which are compared as a whole. So a pair right
+at the threshold is found in a pass with a probability that no other vector changes, and the number of passes follows
+from it and the wanted recall. Equal vectors are one row from the start.
 
-The windows serve to find components. How many links a vector has is then counted exactly inside its component, chunk
-against chunk, with nothing listed, so a group of near copies wider than a window loses none.
+The runs serve to find components. How many links a vector has is then counted exactly inside its component, chunk
+against chunk, with nothing listed.
 
-Skew: the order is cut into blocks of equal size, whatever the labels' sizes, each with the window before it; a large
-component is counted by pairs of chunks.
+Skew: long runs and large components are compared by pairs of chunks.
 
 Nulls and odd rows: vectors that are null, zero, or hold null or non-finite components, and rows with a null label or id,
 link with nothing (n_links 0, themselves their component, kept). Vectors of other lengths are not compared. Repeated rows
@@ -23,8 +24,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orthoplan.llm import scratch
@@ -32,18 +32,24 @@ from orthoplan.llm.components import components
 from orthoplan.llm.runs import groups
 
 WINDOW = 32
-BLOCK = 2048
 CHUNK = 1024
+#: Rows of a chunk that are compared at a time.
+STEP = 256
 BITS = 63
 
 
 def passes_for(largest: int, threshold: float, recall: float = 0.9999, window: int = WINDOW) -> int:
-    """Two neighbours of the order's first window share about log2(largest / window) leading signs."""
+    """A pair at the threshold shares a sign with probability `same`, and all leading_signs() with `found` or more."""
     same = 1 - math.acos(threshold) / math.pi
     found = same ** max(1.0, math.log2(max(2, largest) / window) + 1)
     return max(2, math.ceil(math.log(1 - recall) / math.log(1 - found)))
 
 
+def leading_signs(largest: int, window: int = WINDOW) -> int:
+    """As many as part evenly spread vectors into runs of about a window."""
+    return min(BITS, math.ceil(math.log2(max(2, largest) / window))) if largest > window else 0
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """vectors(vec_id, embedding, label) -> vec_id, label, dim, ok, digest, vec (float64 bytes, of length 1)."""
 
@@ -74,11 +80,11 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
 
 
-def projected(classes: DataFrame, passes: int, seed: int) -> DataFrame:
-    """classes(id, label, dim, vec) -> pass, label, dim, key, id for every pass."""
+def runs_of(classes: DataFrame, passes: int, signs: int, seed: int) -> DataFrame:
+    """classes(id, label, dim, vec) -> pass, label, dim, key (the leading signs), id for every pass."""
 
     def rows(batches):
-        weights = np.uint64(1) << np.arange(BITS - 1, -1, -1, dtype=np.uint64)
+        weights = np.uint64(1) << np.arange(signs - 1, -1, -1, dtype=np.int64).astype(np.uint64)
         planes: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
             dims = b.column("dim").to_numpy()
@@ -87,65 +93,43 @@ def projected(classes: DataFrame, passes: int, seed: int) -> DataFrame:
                 v = np.frombuffer(b"".join(part.column("vec").to_pylist()), np.float64).reshape(-1, dim)
                 for p in range(passes):
                     if (p, dim) not in planes:
-                        planes[p, dim] = np.random.default_rng([seed, p, int(dim)]).standard_normal((int(dim), BITS))
+                        planes[p, dim] = np.random.default_rng([seed, p, int(dim)]).standard_normal((int(dim), signs))
                     key = ((v @ planes[p, dim] > 0) @ weights).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), p, np.int32)), part.column("label"), part.column("dim"), pa.array(key), part.column("id")], ["pass", "label", "dim", "key", "id"])
 
     return classes.select("id", "label", "dim", "vec").mapInArrow(rows, "pass int, label string, dim int, key long, id long")
 
 
-def ranked(keys: DataFrame) -> DataFrame:
-    """+ rank in the order of all passes, without a single task that sees all rows: place in the partition, then the partition's start."""
-
-    def rows(batches):
-        part, at = TaskContext.get().partitionId(), 0
-        for b in batches:
-            places = np.arange(at, at + b.num_rows)
-            at += b.num_rows
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), pa.array(places)], [*b.schema.names, "part", "place"])
-
-    order = ["pass", "label", "dim", "key", "id"]
-    sorted_ = keys.repartitionByRange(*order).sortWithinPartitions(*order)
-    t = scratch.written(sorted_.mapInArrow(rows, "pass int, label string, dim int, key long, id long, part int, place long"), "ranks")
-    starts = t.groupBy("part").agg(F.count("*").alias("n"))
-    starts = starts.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("start"))
-    return t.join(starts, "part").select("pass", "label", "dim", "id", (F.col("start") + F.col("place")).alias("rank"))
-
-
-def window_links(ranks: DataFrame, classes: DataFrame, threshold: float, window: int) -> DataFrame:
-    """Links of neighbours in the order; of a block's links only those that join what the block has not joined yet."""
+def run_links(keys: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Links of all pairs of a run; of a group's links only those that join what the group has not joined yet."""
 
     def rows(batches):
-        for t, edges in groups(batches, ["block"]):
-            ids = t.column("id").to_numpy()
-            run = np.unique(np.char.add(np.char.add(t.column("label").to_numpy(zero_copy_only=False).astype(str), "|"), np.char.add(t.column("pass").to_numpy().astype(str), "|")), return_inverse=True)[1]
-            dims, vecs = t.column("dim").to_numpy(), t.column("vec").to_pylist()
+        for t, edges in groups(batches, ["run", "c1", "c2"]):
+            ids, chunk, vec = t.column("id").to_numpy(), t.column("chunk").to_numpy(), t.column("vec")
             out = []
             for lo, hi in zip(edges[:-1], edges[1:]):
-                a, b = [], []
-                for dim in np.unique(dims[lo:hi]):
-                    at = lo + np.flatnonzero(dims[lo:hi] == dim)
-                    v = np.frombuffer(b"".join([vecs[i] for i in at]), np.float64).reshape(-1, dim)
-                    for d in range(1, min(window, len(at) - 1) + 1):
-                        i = np.flatnonzero((run[at[:-d]] == run[at[d:]]) & (np.einsum("ij,ij->i", v[:-d], v[d:]) >= threshold))
-                        a += ids[at[i]].tolist()
-                        b += ids[at[i + d]].tolist()
-                parent: dict[int, int] = {}
-                for x, y in zip(a, b):
-                    p, q = x, y
-                    while parent.get(p, p) != p:
-                        parent[p] = p = parent.get(parent[p], parent[p])
-                    while parent.get(q, q) != q:
-                        parent[q] = q = parent.get(parent[q], parent[q])
-                    if p != q:
-                        parent[p] = q
-                        out.append((x, y))
+                v = matrix(vec.slice(lo, hi - lo))
+                c = chunk[lo:hi]
+                joined = np.arange(hi - lo)
+                for at in range(0, hi - lo, STEP):
+                    near = v[at : at + STEP] @ v.T >= threshold
+                    if c[0] != c[-1]:
+                        near &= c[at : at + STEP, None] < c[None, :]
+                    for i in np.flatnonzero(near.any(axis=1)):
+                        other = np.flatnonzero(near[i] & (joined != joined[at + i]))
+                        if len(other):
+                            names, place = np.unique(joined[other], return_index=True)
+                            out += [(ids[lo + at + i], ids[lo + j]) for j in other[place]]
+                            joined[np.isin(joined, names)] = joined[at + i]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
-    block = F.floor(F.col("rank") / BLOCK).cast("long")
-    halo = F.when(F.col("rank") % BLOCK >= BLOCK - window, F.array(block, block + 1)).otherwise(F.array(block))
-    r = ranks.withColumn("block", F.explode(halo)).join(classes.select("id", "vec"), "id")
-    r = r.select("block", "rank", "pass", "label", "dim", "id", "vec").repartition("block").sortWithinPartitions("block", "rank")
+    keys = keys.withColumn("run", F.xxhash64("pass", "label", "dim", "key"))
+    run = ["run", "dim"]
+    sizes = scratch.written(keys.groupBy(*run).agg(F.count("*").alias("size")).filter("size > 1"), "runs")
+    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
+    r = keys.join(sizes, run).withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    r = r.select("run", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "chunk", "id").join(classes.select("id", "vec"), "id")
+    r = r.repartition("run", "c1", "c2").sortWithinPartitions("run", "c1", "c2", "chunk")
     return r.mapInArrow(rows, "a long, b long").distinct()
 
 
@@ -179,8 +163,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, seed: int = 8, win
     good = rows.filter("ok")
     classes = scratch.written(good.groupBy("label", "dim", "digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("m"), F.min_by("vec", "vec_id").alias("vec")), "vector-classes")
     largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
-    ranks = ranked(projected(classes, passes_for(largest, threshold, window=window), seed))
-    linked = scratch.written(components(window_links(ranks, classes, threshold, window)), "vector-components")
+    keys = scratch.written(runs_of(classes, passes_for(largest, threshold, window=window), leading_signs(largest, window), seed), "signs")
+    linked = scratch.written(components(run_links(keys, classes, threshold)), "vector-components")
     sizes = linked.groupBy("component").agg(F.count("*").alias("size"))
     counts = link_counts(linked.join(sizes, "component").join(classes.select("id", "m", "vec"), "id"), threshold)
     found = classes.select("label", "dim", "digest", "id", "m").join(linked, "id", "left").join(counts, "id", "left")

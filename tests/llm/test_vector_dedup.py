@@ -55,3 +55,20 @@ def test_empty_table(spark):
 
 def test_more_passes_for_larger_tables():
     assert vector_dedup.passes_for(10**9, 0.98) > vector_dedup.passes_for(1000, 0.98) >= 2
+
+
+def test_pairs_in_a_dense_topic_are_found(spark):
+    rng = np.random.default_rng(5)
+    n, pairs = 6000, 300
+    centre = np.ones(64) / 8
+    v = centre * 0.95**0.5 + rng.standard_normal((n, 64)) * (0.05 / 64) ** 0.5
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    copies = v[:pairs] + rng.standard_normal((pairs, 64)) * (0.035 / 64) ** 0.5
+    v = np.float32(np.concatenate([v, copies]))
+    got = vector_dedup.near_vectors(spark.createDataFrame([(i, x.tolist(), 1, "x") for i, x in enumerate(v)], SCHEMA).repartition(4)).collect()
+    u = v.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    near = u @ u.T >= 0.98
+    np.fill_diagonal(near, False)
+    assert near.sum() > 200
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(near.sum(axis=1).tolist()))
