@@ -53,14 +53,17 @@ class Encoder:
     A byte-level pre-tokenizer always splits before a single blank, and before and after a single line feed, between
     visible characters. Texts are cut there, each distinct piece (a blank or a line feed, and the word behind it) is
     encoded once and kept, and the pieces' ids are joined. New pieces are encoded together, a line feed between them,
-    as that is a token of its own. Texts with other white space, and other kinds of tokenizer, are encoded in one go.
+    as that is a token of its own. Texts with other white space, texts that hold an added token where these are
+    recognised, and other kinds of tokenizer, are encoded in one go.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added if not (special_as_text and t.special)]
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         parts = json.loads(self.tokenizer.to_str())
         split = parts["pre_tokenizer"] or {}
@@ -134,7 +137,7 @@ class Encoder:
         for t in texts:
             t = "\n" + t
             words = t.replace("\n", " \n").split(" ")[1:]
-            if not self.by_piece or "" in words or "\n" in words or any(c in t for c in OTHER_SPACE):
+            if not self.by_piece or "" in words or "\n" in words or any(c in t for c in OTHER_SPACE) or any(c in t for c in self.added):
                 cut.append(None)
                 found.append(None)
                 continue
@@ -157,8 +160,8 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, special_as_text: bool) -> Encoder:
+    return Encoder(path, special_as_text)
 
 
 def opened(uri: str):
@@ -208,11 +211,15 @@ class Shard:
         self.sink.close()
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, length: int = 2048, end_id: int = 0) -> DataFrame:
-    """Writes the files under folder and returns the manifest, kept in the shared folder."""
+def write(docs: DataFrame, folder: str, tokenizer: str, length: int = 2048, end_id: int = 0, special_as_text: bool = True) -> DataFrame:
+    """Writes the files under folder and returns the manifest, kept in the shared folder.
+
+    special_as_text: a special token's string in a text is ordinary text; False: it gets that token's id, as in the library's
+    plain call.
+    """
 
     def shards(batches):
-        enc, shard, index = encoder(tokenizer), None, []
+        enc, shard, index = encoder(tokenizer, special_as_text), None, []
         number = TaskContext.get().partitionId()
         end = np.array([end_id], enc.dtype).tobytes()
         name = f"{folder}/shard-{number:06d}-{uuid.uuid4().hex}"
@@ -291,5 +298,5 @@ def documents(manifest: DataFrame) -> DataFrame:
 
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     m = manifest.withColumn("offset", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    m = m.select("path", "index_path", "offset").repartition(max(1, manifest.count()), "path")
+    m = m.select("path", "index_path", "offset").repartition(max(1, manifest.count()))  # a file a task, dealt in turn
     return m.mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -3,8 +3,9 @@
 A text's paragraphs are its lines, long ones in runs of WORDS words; their digests form a set. A sketch adds each digest
 to three cells, each in a third of its own; a cell holds a count and the exclusive ors of its digests and of their
 checks. Sketches of two versions subtract cell by cell: what they share cancels, and peeling takes out the digests of
-cells that hold one, until nothing is left. If something is left, sketches several times as large are tried. Likeness is
-one minus the digests recovered over those of both versions.
+cells that hold one, until nothing is left. If something is left, sketches several times as large are tried; if the last
+of them cannot be peeled either, the two sets are subtracted themselves. Likeness is one minus the digests recovered over
+those of both versions, so it is exact in every case.
 
 Sketches are kept as their non-empty cells in order, so the work follows the number of paragraphs, not of cells. The
 fingerprint is the smallest sketch as text. The next document is found in buckets of neighbouring ids, cut at
@@ -27,8 +28,9 @@ from orthoplan.llm import scratch
 WORDS = 16
 #: Cells of the fingerprint.
 CELLS = 24
-#: Documents of a bucket of neighbouring ids, on average.
-BUCKET = 4096
+#: Documents of a bucket of neighbouring ids, on average, and buckets at most: beyond both, buckets grow.
+BUCKET = 1024
+BUCKETS = 250_000
 #: Sorted entries that are summed together.
 BLOCK = 16
 #: Rounds of peeling; a sketch that can be peeled at its load takes far fewer.
@@ -167,14 +169,16 @@ def likeness(a: Column, b: Column, sketch_a: Column, sketch_b: Column, differ: f
     for salt, factor in ((1, 20), (2, 40), (3, 80)):
         larger = (size * factor + CELLS).cast("long")
         tries.append(let(larger, lambda t, s=salt: recovered(cells(F.concat(entries(a, 1, t, s), entries(b, -1, t, s))), t, s)))
-    return F.when(a == b, F.lit(1.0)).otherwise(1 - F.coalesce(*tries) / size)
+    exact = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
+    return F.when(a == b, F.lit(1.0)).otherwise(1 - F.coalesce(*tries, exact) / size)
 
 
 def with_bucket(d: DataFrame) -> DataFrame:
-    """d(doc_id, ...) -> + bucket: its place among approximate quantiles of the ids, found in two steps."""
-    stats = d.agg(F.count("doc_id").alias("n")).first()
-    parts = max(1, min(250_000, stats["n"] // BUCKET))
-    bounds = d.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100_000)).first()[0] if parts > 1 else []
+    """d(doc_id, ...) -> + bucket: its place among approximate quantiles of the ids, found in two steps. The quantiles' error is
+    a quarter of a bucket. Rows without an id are dealt to buckets behind all others by their text's hash."""
+    stats = d.agg(F.count("doc_id").alias("n"), F.count("*").alias("all")).first()
+    parts = max(1, min(BUCKETS, stats["n"] // BUCKET))
+    bounds = d.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], max(10_000, 4 * parts))).first()[0] if parts > 1 else []
     bounds = sorted(set(bounds or []))
     step = max(1, int(len(bounds) ** 0.5))
     fine = [bounds[i : i + step] for i in range(0, len(bounds), step)] or [[]]
@@ -182,13 +186,15 @@ def with_bucket(d: DataFrame) -> DataFrame:
     within = F.from_json(F.lit(json.dumps(fine)), "array<array<bigint>>")
     place = F.size(F.filter(coarse, lambda b: b <= F.col("doc_id")))
     found = let(place, lambda p: p * step + F.size(F.filter(F.element_at(within, p + 1), lambda b: b <= F.col("doc_id"))))
-    return d.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 2)).otherwise(found))
+    rest = max(1, min(BUCKETS, (stats["all"] - stats["n"]) // BUCKET))
+    unknown = F.floor((F.col("k") / 2.0**64 + 0.5) * rest).cast("int")  # in the order of k, as within a bucket
+    return d.withColumn("bucket", F.when(F.col("doc_id").isNull(), len(bounds) + 2 + unknown).otherwise(found))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    d = with_bucket(d).withColumn("k", F.xxhash64("text"))
+    d = with_bucket(d.withColumn("k", F.xxhash64("text")))
     order = [F.col("doc_id").asc_nulls_last(), F.col("k")]
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "k")
     first = scratch.written(d.groupBy("bucket").agg(F.min_by("text", rank).alias("first_text")), "bucket-firsts")

@@ -7,13 +7,19 @@ are generalised to wildcards. A line whose template would keep less than SHARE o
 own. A template found in at least min_docs documents is recurring: its lines stay in the first of them (smallest id)
 and are dropped from all others. Lines of fewer than min_tokens tokens say too little and stay.
 
+min_docs is a count, so in a corpus large enough a field's frequent values reach it and split their template by value.
+With constant_share a token stays only if it also has that share of its leaf's documents, which holds at every size.
+
+Identity: a form and a template are named by two independent 64-bit hashes each, a row by its id and a hash of its text.
+
 Skew: a recurring line is one row of counts before anything is joined; counts are aggregated before the shuffle, and the
 joins back to lines and tokens are plain joins that adaptive execution splits. Only lines of leaves with several forms are
 taken apart into tokens, one line for each form.
 
 Nulls: a null text stays null, has no lines and drops none; null ids come after all others in the choice of the first
 document. Rows equal in id and text count as one document and get the same answer. A text left without lines is empty.
-Empty texts stay. An empty table gives an empty result. Columns that clash with the added ones are replaced.
+Empty texts stay. Texts are read whole, a row for each line. An empty table gives an empty result. Other columns pass
+through packed in a struct, so their names cannot clash with internal ones; n_lines and n_dropped are replaced.
 """
 
 from __future__ import annotations
@@ -26,6 +32,8 @@ from orthoplan.llm import scratch
 DEPTH = 3
 SHARE = 0.7
 ADDED = ("n_lines", "n_dropped")
+#: What names a row, and a line's form.
+ROW, FORM = ["doc_id", "k"], ["h", "h2"]
 _FIRST = "struct(doc_id IS NULL AS unknown, doc_id, k)"
 
 
@@ -39,52 +47,72 @@ def n_tokens(m):
     return F.length(m) - F.length(F.replace(m, F.lit(" "))) + 1
 
 
+def named(*values) -> tuple:
+    """Two independent hashes."""
+    return F.xxhash64(*values), F.xxhash64(F.lit(1), *values)
+
+
+def same_row(a: DataFrame, b: DataFrame):
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["k"] == b["k"])
+
+
 def lines_of(docs: DataFrame, min_tokens: int) -> DataFrame:
-    """docs(doc_id, k, text) -> a row for each line that is long enough: k, doc_id, idx, h (its form), leaf."""
-    forms = F.transform(F.split("text", "\n"), form)
-    rows = F.transform(forms, lambda m, i: F.struct(i.alias("idx"), n_tokens(m).alias("n"), F.xxhash64(m).alias("h"), F.xxhash64(n_tokens(m), F.substring_index(m, " ", DEPTH)).alias("leaf")))
-    return docs.select("k", "doc_id", F.explode(rows).alias("l")).select("k", "doc_id", "l.*").filter(F.col("n") >= min_tokens).drop("n")
+    """docs(doc_id, k, text) -> a row for each line that is long enough: k, doc_id, idx, h, h2 (its form), leaf.
+
+    The form is exploded from an array of one, so that it is computed once and not again for each use.
+    """
+    rows = docs.select("k", "doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "line"))
+    rows = rows.select("k", "doc_id", "idx", F.explode(F.array(form(F.col("line")))).alias("m"))
+    m = F.col("m")
+    h, h2 = named(m)
+    return rows.filter(n_tokens(m) >= min_tokens).select("k", "doc_id", "idx", h.alias("h"), h2.alias("h2"), F.xxhash64(n_tokens(m), F.substring_index(m, " ", DEPTH)).alias("leaf"))
 
 
-def templates(docs: DataFrame, units: DataFrame, min_docs: int) -> DataFrame:
-    """units(h, leaf, docs, first, rep) -> h, docs, first of its template, for the forms of leaves that hold several."""
-    leaves = units.groupBy("leaf").agg(F.count("*").alias("forms"), F.sum("docs").alias("d")).filter(f"forms > 1 AND d >= {min_docs}").select("leaf")
+def templates(docs: DataFrame, units: DataFrame, min_docs: int, constant_share: float) -> DataFrame:
+    """units(h, h2, leaf, docs, first, rep) -> h, h2, docs, first of its template, for the forms of leaves that hold several."""
+    leaves = units.groupBy("leaf").agg(F.count("*").alias("forms"), F.sum("docs").alias("d")).filter(f"forms > 1 AND d >= {min_docs}")
+    leaves = leaves.select("leaf", F.greatest(F.lit(float(min_docs)), F.col("d") * constant_share).alias("least"))
     pending = scratch.written(units.join(leaves, "leaf"), "pending-forms")
-    places = pending.groupBy(F.col("rep.k").alias("k")).agg(F.collect_list(F.struct("h", "leaf", "docs", F.col("rep.idx").alias("idx"))).alias("p"))
-    text_lines = docs.select("k", F.split("text", "\n").alias("ls"))
-    found = text_lines.join(places.hint("merge"), "k").select("ls", F.explode("p").alias("p"))
+    places = pending.groupBy(F.col("rep.doc_id").alias("doc_id"), F.col("rep.k").alias("k")).agg(F.collect_list(F.struct(*FORM, "leaf", "least", "docs", F.col("rep.idx").alias("idx"))).alias("p"))
+    text_lines = docs.select(*ROW, F.split("text", "\n").alias("ls"))
+    found = text_lines.join(places.hint("merge"), same_row(text_lines, places)).select("ls", F.explode("p").alias("p"))
     tokens = F.split(form(F.element_at("ls", F.col("p.idx") + 1)), " ")
-    tokens = found.select("p.h", "p.leaf", "p.docs", F.posexplode(tokens).alias("pos", "token")).select("h", "leaf", "docs", "pos", F.xxhash64("token").alias("t"))
-    tokens = scratch.written(tokens.groupBy("h", "leaf", "pos", "t").agg(F.first("docs").alias("docs")), "form-tokens")
-    common = tokens.groupBy("leaf", "pos", "t").agg(F.sum("docs").alias("d")).filter(F.col("d") >= min_docs).select("leaf", "pos", "t", F.lit(True).alias("stays"))
-    own = tokens.join(common, ["leaf", "pos", "t"], "left").select("h", "leaf", "pos", F.when(F.col("stays"), F.col("t")).alias("t"))
-    own = own.groupBy("h", "leaf").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("t", F.lit(0)).alias("t")))).alias("ts"), (F.count("t") / F.count("*")).alias("share"))
-    named = own.select("h", F.when(F.col("share") >= SHARE, F.xxhash64("leaf", "ts")).otherwise(F.col("h")).alias("tid"))
-    named = scratch.written(named.join(pending.select("h", "docs", "first"), "h"), "templates")
-    groups = named.groupBy("tid").agg(F.sum("docs").alias("docs"), F.min("first").alias("first"))
-    return named.select("h", "tid").join(groups, "tid").select("h", "docs", "first")
-
-
-def dropped_lines(docs: DataFrame, min_docs: int, min_tokens: int) -> DataFrame:
-    """docs(doc_id, k, text) -> k, dropped: the numbers of the lines that go."""
+    tokens = found.select("p.*", F.posexplode(tokens).alias("pos", "token")).select(*FORM, "leaf", "least", "docs", "pos", F.xxhash64("token").alias("t"))
+    tokens = scratch.written(tokens.groupBy(*FORM, "leaf", "pos", "t").agg(F.first("docs").alias("docs"), F.first("least").alias("least")), "form-tokens")
+    common = tokens.groupBy("leaf", "pos", "t").agg(F.sum("docs").alias("d"), F.first("least").alias("least")).filter("d >= least").select("leaf", "pos", "t", F.lit(True).alias("stays"))
+    own = tokens.join(common, ["leaf", "pos", "t"], "left").select(*FORM, "leaf", "pos", F.when(F.col("stays"), F.col("t")).alias("t"))
+    own = own.groupBy(*FORM, "leaf").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("t", F.lit(0)).alias("t")))).alias("ts"), (F.count("t") / F.count("*")).alias("share"))
+    t, t2 = named("leaf", "ts")
+    shared = F.col("share") >= SHARE
+    of = own.select(*FORM, F.when(shared, t).otherwise(F.col("h")).alias("tid"), F.when(shared, t2).otherwise(F.col("h2")).alias("tid2"))
+    of = scratch.written(of.join(pending.select(*FORM, "docs", "first"), FORM), "templates")
+    scratch.removed(docs.sparkSession, pending, tokens)
+    groups = of.groupBy("tid", "tid2").agg(F.sum("docs").alias("docs"), F.min("first").alias("first"))
+    return of.select(*FORM, "tid", "tid2").join(groups, ["tid", "tid2"]).select(*FORM, "docs", "first")
+
+
+def dropped_lines(docs: DataFrame, min_docs: int, min_tokens: int, constant_share: float) -> DataFrame:
+    """docs(doc_id, k, text) -> doc_id, k, dropped: the numbers of the lines that go."""
     lines = scratch.written(lines_of(docs, min_tokens), "lines")
-    once = lines.groupBy("h", "k").agg(F.min("doc_id").alias("doc_id"), F.min("idx").alias("idx"), F.first("leaf").alias("leaf"))
-    units = once.groupBy("h").agg(F.first("leaf").alias("leaf"), F.count("*").alias("docs"), F.min(F.expr(_FIRST)).alias("first"), F.min(F.struct("k", "idx")).alias("rep"))
+    once = lines.groupBy(*FORM, *ROW).agg(F.min("idx").alias("idx"), F.first("leaf").alias("leaf"))
+    units = once.groupBy(*FORM).agg(F.first("leaf").alias("leaf"), F.count("*").alias("docs"), F.min(F.expr(_FIRST)).alias("first"), F.min(F.struct("k", "doc_id", "idx")).alias("rep"))
     units = scratch.written(units, "forms")
-    general = templates(docs, units, min_docs)
-    single = units.join(general.select("h"), "h", "left_anti").select("h", "docs", "first")
-    recurring = single.unionByName(general).filter(F.col("docs") >= min_docs).select("h", F.col("first.k").alias("first"))
-    return lines.join(recurring, "h").filter("k <> first").groupBy("k").agg(F.collect_list("idx").alias("dropped"))
+    general = templates(docs, units, min_docs, constant_share)
+    single = units.join(general.select(*FORM), FORM, "left_anti").select(*FORM, "docs", "first")
+    recurring = single.unionByName(general).filter(F.col("docs") >= min_docs).select(*FORM, "first")
+    others = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("k") == F.col("first.k")))
+    return lines.join(recurring, FORM).filter(others).groupBy(*ROW).agg(F.collect_list("idx").alias("dropped"))
 
 
-def deduplicated(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3) -> DataFrame:
+def deduplicated(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, constant_share: float = 0.0) -> DataFrame:
     """docs(doc_id, text, ...) -> the same columns, text without the dropped lines, + n_lines, n_dropped."""
-    keep = [c for c in docs.columns if c not in ADDED]
-    d = docs.select(*[F.col(c).alias("_k" if c == "k" else c) for c in keep]).withColumn("k", F.xxhash64("doc_id", "text"))
-    drops = dropped_lines(d.select(F.col("doc_id").cast("long").alias("doc_id"), "k", "text").filter("text IS NOT NULL"), min_docs, min_tokens)
+    keep = [c for c in docs.columns if c.lower() not in ADDED]
+    rest = F.struct(*[F.col(f"`{c}`") for c in keep if c.lower() != "text"])
+    d = docs.select(rest.alias("rest"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("doc_id", "text").alias("k"))
+    drops = dropped_lines(d.select(*ROW, "text").filter("text IS NOT NULL"), min_docs, min_tokens, constant_share)
     ls = F.split("text", "\n")
     left = F.array_except(F.sequence(F.lit(1), F.size(ls)), F.transform("dropped", lambda i: i + 1))
     text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.element_at(ls, i)), "\n"))
-    out = d.join(drops.hint("merge"), "k", "left").withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(ls)).cast("long"))
-    out = out.withColumn("n_dropped", F.coalesce(F.size("dropped"), F.lit(0)).cast("long")).withColumn("text", text)
-    return out.select(*[F.col("_k").alias("k") if c == "k" else F.col(c) for c in keep], *ADDED)
+    out = d.join(drops.hint("merge"), same_row(d, drops), "left").select("rest", "text", "dropped")
+    counts = (F.when(F.col("text").isNull(), 0).otherwise(F.size(ls)).cast("long").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))
+    return out.select(*[text.alias(c) if c.lower() == "text" else F.col(f"rest.`{c}`").alias(c) for c in keep], *counts)

@@ -4,11 +4,14 @@ Every document of a source has the same expected number of copies (target / size
 expected copies over the source's documents, plus one random offset for the source, emits a document once for each
 integer that its step crosses. Documents are ordered by size, so the words taken stay within about one document of the
 target. The running sum needs the rank of each document in its source; a hot source never meets in one task, because
-ranks are put together from three levels: sizes within a source, blocks of ids within a size, rows within a block.
-
-Nulls: a null text has size 0; null is a source of its own (the last one); null ids come first in their block. Repeated
-rows are separate documents. An empty table gives an empty result. Columns of the input that clash with the added ones
-are replaced.
+ranks are put together level by level: sizes within a source, then blocks of ids within blocks of ids (at most 65,536 in
+each), whatever the ids are, then rows within the smallest block.
+
+Nulls and ties: a null text has size 0; null is a source of its own (the last one); null ids come first of their size and
+are ordered, as repeated ids are, by a hash of the text. Repeated rows are separate documents, which take neighbouring
+ranks in one task. Texts are read whole, whatever their length. An empty table gives an empty result. The input's columns
+pass through packed in a struct, so their names cannot clash with internal ones; size, source_size, target, copies and
+taken are replaced.
 """
 
 from __future__ import annotations
@@ -16,10 +19,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orthoplan.llm import scratch
+
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of a block of consecutive ids.
-BLOCK = 4096
+#: Bits of an id that a level of blocks leaves out, and the names of the levels, smallest first.
+BITS = 16
+LEVELS = ("block", "block2", "block3")
 ADDED = ("size", "source_size", "target", "copies", "taken")
+SOURCE = ["none", "name"]
+SIZE = [*SOURCE, "size", "known"]
 
 
 def weighted(sources: DataFrame, weights: list[int], most: float) -> DataFrame:
@@ -47,37 +55,54 @@ def offset(seed: int):
     return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 
+def before(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """rows(..., n) -> + at: the sum of n over the rows that come before it."""
+    return rows.withColumn("at", F.sum("n").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+
+
+def starts_of(blocks: DataFrame) -> DataFrame:
+    """blocks(SIZE..., block, n) -> SIZE..., block, at: how many rows of the source come before the block."""
+    levels = [blocks]
+    for low, high in zip(LEVELS, LEVELS[1:]):
+        levels[-1] = levels[-1].withColumn(high, F.shiftright(low, BITS))
+        levels.append(levels[-1].groupBy(*SIZE, high).agg(F.sum("n").alias("n")))
+    sizes = levels[-1].groupBy(*SIZE).agg(F.sum("n").alias("n"))
+    at, key = before(sizes, SOURCE, ["size", "known"]).select(*SIZE, F.col("at").alias("above")), SIZE
+    for rows, name in zip(levels[::-1], LEVELS[::-1]):
+        at = before(rows, key, [name]).join(at, key).select(*SIZE, name, (F.col("at") + F.col("above")).alias("above"))
+        key = [*SIZE, name]
+    return at.withColumnRenamed("above", "at")
+
+
+def ranked(docs: DataFrame, weights: list[int], most: float, seed: int) -> DataFrame:
+    """docs(doc_id, text, source, ...) -> row (all its columns), size, source_size, target, copies, taken."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    tie = F.xxhash64("text")  # here, so that a query without texts does not move them
+    ident = F.coalesce(F.col("doc_id").cast("long"), tie)
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"), size.alias("size"), F.col("doc_id").isNotNull().alias("known"), ident.alias("ident"), tie.alias("tie"))
+    d = d.withColumn("block", F.shiftright("ident", BITS))
+    blocks = scratch.written(d.groupBy(*SIZE, "block").agg(F.count("*").alias("n")), "mix-blocks")
+    rates = weighted(sizes_of_sources(blocks), weights, most).withColumn("u", offset(seed))
+    rates = rates.select(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"), "source_size", "target", "u")
+    rank = F.row_number().over(Window.partitionBy(*SIZE, "block").orderBy("ident", "tie"))
+    out = d.join(starts_of(blocks).join(rates, SOURCE), [*SIZE, "block"]).withColumn("i", rank + F.col("at"))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    copies = F.floor(F.col("i") * rate + F.col("u")) - F.floor((F.col("i") - 1) * rate + F.col("u"))
+    return out.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).select("row", *ADDED)
+
+
 def mix(docs: DataFrame, weights: list[int] | None = None, most: float = 3.0, seed: int = 9) -> DataFrame:
     """docs(doc_id, text, source, ...) -> the same columns + size, source_size, target, copies, taken."""
-    weights = weights or [1, 2, 3]
-    d = docs.drop(*[c for c in ADDED if c in docs.columns])
-    d = d.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    d = d.withColumn("_block", F.coalesce(F.floor(F.col("doc_id") / BLOCK).cast("long"), F.lit(-(2**62))))
-    d = d.withColumn("_tie", F.xxhash64("text"))  # so that a query without texts does not move them
-    d = d.withColumn("_none", F.col("source").isNull()).withColumn("_name", F.coalesce("source", F.lit("")))
-    key = ["_none", "_name", "size", "_block"]
-    blocks = d.groupBy(*key).agg(F.count("*").alias("_n"))
-    blocks = blocks.withColumn("_in_size", F.sum("_n").over(Window.partitionBy(*key[:3]).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
-    sizes = blocks.groupBy(*key[:3]).agg(F.sum("_n").alias("_n"))
-    sizes = sizes.withColumn("_in_source", F.sum("_n").over(Window.partitionBy(*key[:2]).orderBy("size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
-    sources = sizes_of_sources(blocks)
-    rates = weighted(sources, weights, most).withColumn("_u", offset(seed))
-    rates = rates.select(F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_name"), "source_size", "target", "_u")
-    starts = blocks.drop("_n").join(sizes, key[:3]).join(rates, key[:2]).withColumn("_before", F.col("_in_size") + F.col("_in_source")).drop("_in_size", "_in_source")
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy("doc_id", "_tie"))
-    out = d.join(starts, key).withColumn("_i", rank + F.col("_before"))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor(F.col("_i") * rate + F.col("_u")) - F.floor((F.col("_i") - 1) * rate + F.col("_u"))
-    out = out.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select(*[c for c in docs.columns if c not in ADDED], *ADDED)
+    out = ranked(docs, weights or [1, 2, 3], most, seed)
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in ADDED], *ADDED)
 
 
 def sizes_of_sources(blocks: DataFrame) -> DataFrame:
-    s = blocks.groupBy("_none", "_name").agg(F.sum(F.col("size") * F.col("_n")).alias("source_size"))
-    return s.select(F.when(~F.col("_none"), F.col("_name")).alias("source"), "source_size")
+    s = blocks.groupBy(*SOURCE).agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    return s.select(F.when(~F.col("none"), F.col("name")).alias("source"), "source_size")
 
 
-def drawn(docs: DataFrame, **options) -> DataFrame:
+def drawn(docs: DataFrame, weights: list[int] | None = None, most: float = 3.0, seed: int = 9) -> DataFrame:
     """The mix itself: every document as often as it is drawn, with the columns of docs."""
-    m = mix(docs, **options).filter(F.col("copies") > 0)
-    return m.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    m = ranked(docs, weights or [1, 2, 3], most, seed).filter(F.col("copies") > 0)
+    return m.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")

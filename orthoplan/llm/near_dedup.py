@@ -14,7 +14,8 @@ not compared again.
 
 Nulls and odd rows: null or wordless texts have no shingles and link with nothing; rows without an id are returned with
 a null component and kept. Rows with the same id count as one document that has the links of each. Repeated rows have
-the same component. An empty table gives an empty result; other columns are not read.
+the same component. Texts are read whole, the longest ones portion by portion. An empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -312,6 +313,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, seed: int = 3) -> DataFr
     pairs = scratch.written(to_pivots(nodes.withColumn("chunk", chunk).join(small, "id"), least), "pairs")
     links = confirmed(pairs, docs, percent).unionByName(same_id)
     linked = scratch.written(components(links), "components")
+    spark = docs.sparkSession
+    scratch.removed(spark, first, pairs)
 
     # what stays apart in common nodes
     with_component = nodes.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -323,10 +326,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, seed: int = 3) -> DataFr
     ready = ready.withColumn("c1", F.least("chunk", "other")).withColumn("c2", F.greatest("chunk", "other"))
     late = with_candidates(ready.join(whole, "id").select(*GROUP, "slot", "ready", "chunk", "id", "component", "sketch"), least, coordinates)
     late = scratch.written(late, "candidates")
+    scratch.removed(spark, here, nodes)
     if not late.isEmpty():
         sets_of = scratch.written(full_sets(docs, late.select(F.col("id").alias("doc_id")).distinct()), "full-sets")
         new = exhaustive(late.join(whole, "id").join(sets_of, "id"), least, percent, coordinates)
         linked = scratch.written(components(linked.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(new)), "components")
+        scratch.removed(spark, sets_of)
+    scratch.removed(spark, late)
 
     found = classes.select("d1", "d2", "n", "id").join(linked, "id", "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("component_id"))
     rows = sets.select("doc_id", "n", "d1", "d2")

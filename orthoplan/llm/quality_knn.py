@@ -5,6 +5,8 @@ mark as one sign, runs of a class as one); a word said twice running is a term,
 the leading singular directions of a bounded sample of labelled rows (SAMPLE for each label). The sample's vectors are
 broadcast; every document's cosine with each of them is computed exactly, block by block, and its K nearest vote with
 their similarity. Votes are weighted so that the labels' shares among all labelled rows hold, not those of the sample.
+Cosines are double precision, rounded to nine places, so that a score does not depend on what else is in its block; all
+vectors that tie with the K-th nearest vote, too. Scores are rounded to nine places.
 
 Nulls: labels without id or label teach nothing; a null or empty text has no terms and gets the share of label 1 as its
 score. Texts are read whole. Repeated rows get the same score. Without labelled rows of both kinds the score is the
@@ -52,7 +54,7 @@ def terms(text: str) -> np.ndarray:
 
 
 def damped(text: str | None) -> np.ndarray:
-    n = terms(text).astype(np.float32) if text else np.zeros(TERMS + SHAPES, np.float32)
+    n = terms(text).astype(float) if text else np.zeros(TERMS + SHAPES)
     for part in (slice(0, TERMS), slice(TERMS, None)):
         total = n[part].sum()
         if total:
@@ -81,15 +83,15 @@ def fitted(rows: list[tuple[str, int]], prior: float) -> Model:
     if len(set(labels.tolist())) < 2:
         return Model(prior)
     x = np.stack([damped(t) for t, _ in rows])
-    idf = np.log1p(len(rows) / (1 + (x > 0).sum(axis=0))).astype(np.float32)
+    idf = np.log1p(len(rows) / (1 + (x > 0).sum(axis=0)))
     x *= idf
-    q = np.random.default_rng(4).standard_normal((x.shape[1], DIMENSIONS + 16)).astype(np.float32)
+    q = np.random.default_rng(4).standard_normal((x.shape[1], DIMENSIONS + 16))
     for _ in range(4):
         q, _ = np.linalg.qr(x.T @ (x @ q))
     _, _, v = np.linalg.svd(x @ q, full_matrices=False)
-    axes = (q @ v.T[:, :DIMENSIONS]).astype(np.float32)
+    axes = q @ v.T[:, :DIMENSIONS]
     share = labels.mean()
-    votes = np.where(labels == 1, prior / share, (1 - prior) / (1 - share)).astype(np.float32)
+    votes = np.where(labels == 1, prior / share, (1 - prior) / (1 - share))
     return Model(prior, idf, axes, unit(x @ axes), votes, labels)
 
 
@@ -110,13 +112,14 @@ def scores(model: Model, texts: list[str | None]) -> np.ndarray:
     if model.vectors is None:
         return np.full(len(texts), model.prior)
     v = unit(np.stack([damped(t) for t in texts]) * model.idf @ model.axes)
-    cosine = v @ model.vectors.T
+    cosine = np.round(v @ model.vectors.T, 9)
     k = min(K, cosine.shape[1])
-    near = np.argpartition(cosine, -k, axis=1)[:, -k:]
-    weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** 4 * model.votes[near]
-    good = (weight * model.labels[near]).sum(axis=1)
-    total = weight.sum(axis=1)
-    return np.clip(np.where(total > 0, good / np.where(total > 0, total, 1), model.prior).astype(float), 0, 1)
+    least = np.partition(cosine, -k, axis=1)[:, -k, None]
+    row, near = np.nonzero(cosine >= least)
+    weight = np.maximum(cosine[row, near], 0) ** 4 * model.votes[near]
+    good = np.bincount(row, weight * model.labels[near], minlength=len(texts))
+    total = np.bincount(row, weight, minlength=len(texts))
+    return np.clip(np.where(total > 0, np.round(good / np.where(total > 0, total, 1), 9), model.prior), 0, 1)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

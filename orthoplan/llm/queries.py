@@ -44,7 +44,7 @@ def op4_latent_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch.new_path(spark, "tokens")
-    manifest = arrow_tokens.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    manifest = arrow_tokens.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), special_as_text=False)
     return arrow_tokens.documents(manifest)
 
 

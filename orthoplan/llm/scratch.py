@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a folder of our own only where it is unset (local runs)."""
+    """The session's spark.checkpoint.dir; a folder of our own only where it is unset and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: on a cluster, intermediate tables need a folder that all of it shares")
         found = f"file://{tempfile.mkdtemp(prefix='orthoplan-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

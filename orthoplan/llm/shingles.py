@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 WIDTH = 5
+#: Bytes of a text that are hashed at a time; a longer word is taken whole.
+PORTION = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _ROLL = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0x9FB21C651E98DF25], np.uint64)
@@ -19,7 +24,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> list[np.ndarray]:
-    """The first n powers of the base and of its inverse; the tables grow with the longest text seen."""
+    """The first n powers of the base and of its inverse; the tables grow with the longest portion seen."""
     if len(_powers[0]) < n:
         n = max(n, 1 << 16)
         for k, base in enumerate((_BASE, _INVERSE)):
@@ -30,10 +35,18 @@ def powers(n: int) -> list[np.ndarray]:
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """One hash for each word `[^\\x20\\x09-\\x0D]+` of the text with A-Z in lower case."""
-    raw = np.frombuffer(text.encode().lower(), np.uint8)
-    if not len(raw):
-        return np.zeros(0, np.uint64)
+    """One hash for each word `[^\\x20\\x09-\\x0D]+` of the text with A-Z in lower case, portion by portion."""
+    raw, parts, at = text.encode().lower(), [], 0
+    while at < len(raw):
+        cut = _SPACE.search(raw, at + PORTION)
+        end = cut.start() if cut else len(raw)
+        parts.append(hashes_of(raw[at:end] if at or cut else raw))
+        at = end
+    return np.concatenate(parts) if len(parts) > 1 else parts[0] if parts else np.zeros(0, np.uint64)
+
+
+def hashes_of(portion: bytes) -> np.ndarray:
+    raw = np.frombuffer(portion, np.uint8)
     visible = np.empty(len(raw) + 2, np.int8)
     visible[0] = visible[-1] = 0
     visible[1:-1] = (raw != 32) & ((raw < 9) | (raw > 13))
