@@ -1,7 +1,8 @@
-"""Intermediate tables in the cluster's shared folder (spark.checkpoint.dir); one of our own only where it is unset."""
+"""Intermediate tables in the cluster's shared folder (spark.checkpoint.dir); one of our own only where it is unset and the master is local."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,6 +13,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: on a cluster, intermediate tables need a folder that all of it shares")
         root = f"file://{tempfile.mkdtemp(prefix='orthoplan-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
