@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orthoplan.functions import geometry as g
 from orthoplan.functions import text as tx
-from orthoplan.operators import evaluate, graph, lexicon, review
+from orthoplan.operators import assembly, evaluate, graph, lexicon, plant, review
 from orthoplan.plans import fixture
+from orthoplan.sources import annotations, records
 
 FLAGSHIP = "attribute_minutes"
 QUERIES: dict = {}
@@ -77,11 +80,15 @@ def idle_sessions(spark, d):
     return s.groupBy(F.col("sheet").alias("user_id"), "session").agg(F.count("*").alias("events"), F.min("line_no").alias("first_event"))
 
 
-@query("SELECT count(*) AS events, count(*) FILTER (json_valid(props)) AS readable, CAST(sum(CASE WHEN json_valid(props) THEN CAST(props->>'$.k' AS BIGINT) END) AS BIGINT) AS total FROM events")
+@query("SELECT count(*) AS lines, count(*) FILTER (event_id % 10 <> 0) AS readable, CAST(sum(CASE WHEN event_id % 10 <> 0 THEN user_id END) AS BIGINT) AS sheets, count(DISTINCT CASE WHEN event_id % 10 <> 0 THEN ts END) AS times FROM events")
 def unreadable_events(spark, d):
-    p = F.from_json("props", "k BIGINT, bad STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"})
-    e = log(spark, d).select(p.alias("p"))
-    return e.agg(F.count("*").alias("events"), F.count_if(F.col("p.bad").isNull()).alias("readable"), F.sum("p.k").alias("total"))
+    """events as lines of an activity log, every tenth one torn."""
+    e = table(spark, d, "events")
+    at = F.date_format(F.to_utc_timestamp(F.col("ts").cast("timestamp"), "UTC"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    line = F.to_json(F.struct(at.alias("at"), F.col("event_type").alias("event"), F.col("user_id").alias("sheet")))
+    torn = F.when(F.col("event_id") % 10 == 0, F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line)
+    p = records.parsed_events(e.select(F.lit("doc").alias("document"), F.col("event_id").alias("line_no"), torn.alias("value")))
+    return p.agg(F.count("*").alias("lines"), F.count("at").alias("readable"), F.sum(F.col("sheet").cast("long")).alias("sheets"), F.count_distinct("at").alias("times"))
 
 
 def detections(spark, d) -> DataFrame:
@@ -124,9 +131,9 @@ SELECT {KIND} AS kind, count(*) AS reviewed, count(*) FILTER ({VERDICT} = 'pass'
 FROM documents JOIN labels USING (doc_id) GROUP BY 1
 """)
 def kpi_by_kind(spark, d):
-    j = review.judged(detections(spark, d), verdicts(spark, d)).filter("verdict IS NOT NULL")
-    n = lambda v: F.count_if(F.col("verdict") == v)
-    return j.groupBy("kind").agg(F.count("*").alias("reviewed"), n("pass").alias("passed"), n("reject").alias("rejected"), n("edit").alias("edited"))
+    n = review.judged(detections(spark, d), verdicts(spark, d)).agg(*[c for k in review.KINDS for c in review._counts(k)])
+    of = lambda k: F.struct(F.lit(k).alias("kind"), *[F.col(f"{k}_{c}").alias(v) for c, v in (("reviewed", "reviewed"), ("pass", "passed"), ("reject", "rejected"), ("edit", "edited"))])
+    return n.select(F.inline(F.array(*[of(k) for k in review.KINDS]))).filter("reviewed > 0")
 
 
 @query(f"""
@@ -144,9 +151,11 @@ def kpi_report(spark, d):
     return r.select("level", F.col("document").alias("source"), "total", "accepted", "corrections_per_100_symbols")
 
 
-@query("SELECT l.doc_id FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND d.n_chars >= 1000) AND EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id)")
+@query("SELECT l.doc_id FROM labels l JOIN documents d USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM documents n WHERE n.doc_id = l.doc_id + 1 AND n.source = d.source)")
 def stale_verdicts(spark, d):
-    return review.stale(detections(spark, d).filter("n_chars >= 1000"), verdicts(spark, d)).select(F.col("detection_id").alias("doc_id"))
+    """Verdicts on the detection numbered next: stale where the sheet has no such detection."""
+    v = verdicts(spark, d).withColumn("detection_id", F.col("detection_id") + 1)
+    return review.stale(detections(spark, d), v).select((F.col("detection_id") - 1).alias("doc_id"))
 
 
 @query(f"""
@@ -209,12 +218,24 @@ def gridded_iou_candidates(spark, d):
     return evaluate.gridded_pairs(boxes(spark, d, "R"), boxes(spark, d, "A"), 25.0, 0.3).withColumn("iou", F.round("iou", 6))
 
 
-@query()
+GREEDY = """
+WITH RECURSIVE b AS (SELECT l_orderkey AS sheet, l_returnflag AS f, l_linestatus AS cls, {rank} AS pos, {box} FROM lineitem),
+pairs AS (SELECT p.sheet, p.pos AS p, t.pos AS t, {iou} AS iou, p.cls AS ps, t.cls AS ts FROM b p JOIN b t ON p.sheet = t.sheet AND p.f = 'R' AND t.f = 'A' {cls} WHERE {iou} >= 0.3),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY iou DESC, p, t) AS k FROM pairs),
+r AS (SELECT sheet, k, p, t, iou, ps, ts, [p] AS up, [t] AS ut, true AS kept FROM ordered WHERE k = 1
+      UNION ALL SELECT n.sheet, n.k, n.p, n.t, n.iou, n.ps, n.ts, CASE WHEN list_contains(up, n.p) OR list_contains(ut, n.t) THEN up ELSE list_append(up, n.p) END,
+      CASE WHEN list_contains(up, n.p) OR list_contains(ut, n.t) THEN ut ELSE list_append(ut, n.t) END, NOT (list_contains(up, n.p) OR list_contains(ut, n.t))
+      FROM r JOIN ordered n ON n.sheet = r.sheet AND n.k = r.k + 1)
+"""
+
+
+@query(GREEDY.format(rank=RANK, box=BOX, iou=IOU, cls="AND p.cls = t.cls") + "SELECT sheet, p, t, round(iou, 6) AS iou FROM r WHERE kept")
 def greedy_match(spark, d):
-    return evaluate.greedy_match(evaluate.candidate_pairs(boxes(spark, d, "R"), boxes(spark, d, "A"), 0.3))
+    return evaluate.greedy_match(evaluate.candidate_pairs(boxes(spark, d, "R"), boxes(spark, d, "A"), 0.3)).withColumn("iou", F.round("iou", 6))
 
 
-@query()
+@query(GREEDY.format(rank=RANK, box=BOX, iou=IOU, cls="") + """, n AS (SELECT sheet, count(*) FILTER (ps = ts) AS exact FROM r WHERE kept GROUP BY sheet)
+SELECT t.sheet, t.truth, coalesce(n.exact, 0) AS exact FROM (SELECT sheet, count(*) AS truth FROM b WHERE f = 'A' GROUP BY sheet) t LEFT JOIN n USING (sheet)""")
 def tag_scores(spark, d):
     return evaluate.tag_scores(boxes(spark, d, "R"), boxes(spark, d, "A"), 0.3)
 
@@ -222,7 +243,7 @@ def tag_scores(spark, d):
 def links(spark, d, flag: str) -> DataFrame:
     li = table(spark, d, "lineitem").filter(F.col("l_returnflag") == flag)
     direction = F.when(F.col("l_linestatus") == "F", "known").otherwise("unknown")
-    return li.select(F.lit(0).alias("sheet"), F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("pos"), (F.col("l_partkey") % 50).alias("source"), (F.col("l_suppkey") % 50).alias("target"), direction.alias("direction"))
+    return li.select(F.lit(0).alias("sheet"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("pos"), (F.col("l_partkey") % 50).alias("source"), (F.col("l_suppkey") % 50).alias("target"), direction.alias("direction"))
 
 
 COUNTS = """
@@ -238,26 +259,44 @@ def link_f1(spark, d):
     return evaluate.micro(evaluate.link_counts(links(spark, d, "R"), links(spark, d, "A")))
 
 
-@query()
+@query("""
+WITH RECURSIVE l AS (
+  SELECT l_returnflag AS f, least(l_partkey % 50, l_suppkey % 50) AS low, greatest(l_partkey % 50, l_suppkey % 50) AS high, l_partkey % 50 <= l_suppkey % 50 AS up,
+         row_number() OVER (PARTITION BY l_returnflag, least(l_partkey % 50, l_suppkey % 50), greatest(l_partkey % 50, l_suppkey % 50) ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k
+  FROM lineitem WHERE l_returnflag IN ('R', 'A') AND l_linestatus = 'F'
+), c AS (SELECT low, high, list(up ORDER BY k) AS copies FROM l WHERE f = 'R' GROUP BY low, high),
+t AS (SELECT l.low, l.high, l.k, l.up, coalesce(c.copies, []) AS copies FROM l LEFT JOIN c ON c.low = l.low AND c.high = l.high WHERE f = 'A'),
+r AS (
+  SELECT low, high, 0::BIGINT AS k, any_value(copies) AS left_, 0 AS agreeing, 0 AS conflicting, 0 AS unasserted FROM t GROUP BY low, high
+  UNION ALL
+  SELECT r.low, r.high, t.k, CASE WHEN len(left_) = 0 THEN left_ ELSE list_concat(left_[1:greatest(list_position(left_, t.up), 1) - 1], left_[greatest(list_position(left_, t.up), 1) + 1:]) END,
+         agreeing + CASE WHEN list_contains(left_, t.up) THEN 1 ELSE 0 END, conflicting + CASE WHEN len(left_) > 0 AND NOT list_contains(left_, t.up) THEN 1 ELSE 0 END,
+         unasserted + CASE WHEN len(left_) = 0 THEN 1 ELSE 0 END
+  FROM r JOIN t ON t.low = r.low AND t.high = r.high AND t.k = r.k + 1
+)
+SELECT 0 AS sheet, low, high, max_by(agreeing, k)::BIGINT AS agreeing, max_by(conflicting, k)::BIGINT AS conflicting, max_by(unasserted, k)::BIGINT AS unasserted FROM r GROUP BY low, high
+""")
 def link_directions(spark, d):
     return evaluate.link_directions(links(spark, d, "R"), links(spark, d, "A"))
 
 
-def _pairs(spark, d, flag):
-    return links(spark, d, flag).select(*evaluate.pair(F.col("source"), F.col("target")))
-
-
 SIDE = "SELECT least(l_partkey % 50, l_suppkey % 50) AS low, greatest(l_partkey % 50, l_suppkey % 50) AS high FROM lineitem WHERE l_returnflag = "
 
 
 @query(f"{SIDE} 'R' INTERSECT ALL {SIDE} 'A'")
 def link_intersect(spark, d):
-    return _pairs(spark, d, "R").intersectAll(_pairs(spark, d, "A"))
+    return _copies(spark, d, "tp")
 
 
 @query(f"{SIDE} 'R' EXCEPT ALL {SIDE} 'A'")
 def link_except(spark, d):
-    return _pairs(spark, d, "R").exceptAll(_pairs(spark, d, "A"))
+    return _copies(spark, d, "fp")
+
+
+def _copies(spark, d, count: str):
+    """Each pair as often as it is counted."""
+    n = evaluate.link_counts(links(spark, d, "R"), links(spark, d, "A")).filter(F.col(count) > 0)
+    return n.select("low", "high", F.explode(F.sequence(F.lit(1), F.col(count).cast("int"))).alias("copy")).drop("copy")
 
 
 @query(COUNTS + """SELECT * FROM (SELECT 'symbol_f1' AS metric, 0.9::DOUBLE AS threshold, NULL::DOUBLE AS score, false AS passed
@@ -310,24 +349,45 @@ SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_natio
 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY abs(c_acctbal - s_acctbal), s_suppkey) = 1
 """)
 def nearest_terminal(spark, d):
+    from orthoplan.operators.assembly import nearest_along
+
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("n"), "c_custkey", F.col("c_acctbal").alias("balance"))
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("n"), "s_suppkey", F.col("s_acctbal").alias("balance"))
+    return nearest_along(c, s, ["n"], "balance", "s_suppkey", ["c_custkey"])
+
+
+@query("""
+SELECT x.l_orderkey, x.l_partkey, x.l_suppkey, x.l_linenumber, x.l_extendedprice, arg_min(t.n, (sqrt(power(x.l_quantity - t.q, 2) + power(x.l_partkey % 100 - t.y, 2)), t.n)) AS terminal
+FROM lineitem x JOIN (SELECT DISTINCT l_orderkey AS o, l_linenumber AS n, l_quantity AS q, l_partkey % 100 AS y FROM lineitem WHERE l_returnflag = 'N') t ON t.o = x.l_orderkey
+WHERE x.l_returnflag <> 'N' GROUP BY ALL
+""")
+def nearest_item(spark, d):
+    """Orders are sheets; their open lines are terminals in the plane of quantity and part, the others texts."""
     from orthoplan.operators.assembly import nearest
 
-    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("n"), "c_custkey", "c_acctbal")
-    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("n"), "s_suppkey", "s_acctbal")
-    return nearest(c, s, ["n"], F.abs(F.col("c_acctbal") - F.col("s_acctbal")), "s_suppkey", ["s_suppkey"], ["c_custkey"])
+    li = table(spark, d, "lineitem").withColumn("p", g.point(F.col("l_quantity"), F.col("l_partkey") % 100))
+    key = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"]
+    right = li.filter("l_returnflag = 'N'").select("l_orderkey", F.col("l_linenumber").alias("terminal"), F.col("p").alias("q")).distinct()
+    return nearest(li.filter("l_returnflag <> 'N'").select(*key, "p"), right, ["l_orderkey"], g.dist(F.col("p"), F.col("q")), "terminal", ["terminal"], key)
 
 
 @query("""
-SELECT doc_id, CASE WHEN r_regionkey IS NOT NULL THEN 'region' WHEN n_nationkey IS NOT NULL THEN 'nation' ELSE 'free_text' END AS text_class
-FROM (SELECT doc_id, upper(regexp_extract(text, '^([A-Za-z]*)', 1)) AS w FROM documents) LEFT JOIN region ON upper(r_name) = w LEFT JOIN nation ON upper(n_name) = w
+WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(upper(text), '[A-Z]+')) AS w FROM documents),
+c AS (SELECT upper(r_name) AS w, 0 AS part, 'region' AS cls FROM region UNION ALL SELECT upper(n_name), 1, 'nation' FROM nation UNION ALL SELECT DISTINCT upper(source), 2, 'source' FROM documents WHERE source IS NOT NULL),
+h AS (SELECT doc_id, arg_min(cls, part) AS cls FROM w JOIN c USING (w) GROUP BY doc_id)
+SELECT doc_id, coalesce(cls, 'free_text') AS text_class FROM documents LEFT JOIN h USING (doc_id)
 """)
 def text_class(spark, d):
+    """The first claim on any word of a text names its class."""
     from orthoplan.operators.label_factory import first_claims
 
-    w = table(spark, d, "documents").select("doc_id", F.upper(F.regexp_extract("text", "^([A-Za-z]*)", 1)).alias("string"))
-    claims = table(spark, d, "region").select(F.upper("r_name").alias("string"), F.lit("region").alias("text_class"), F.struct(F.lit(0).alias("part"), F.col("r_regionkey").alias("k")).alias("ord"))
-    claims = claims.unionByName(table(spark, d, "nation").select(F.upper("n_name").alias("string"), F.lit("nation").alias("text_class"), F.struct(F.lit(1).alias("part"), F.col("n_nationkey").alias("k")).alias("ord")))
-    return w.join(first_claims(claims), "string", "left").select("doc_id", F.coalesce("text_class", F.lit("free_text")).alias("text_class"))
+    docs = table(spark, d, "documents")
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit("[A-Z]+"), F.lit(0)))).alias("string"))
+    claim = lambda t, c, cls, part: t.select(F.upper(c).alias("string"), F.lit(cls).alias("text_class"), F.struct(F.lit(part).alias("part"), F.upper(c).alias("k")).alias("ord"), F.lit(part).alias("part"))
+    claims = claim(table(spark, d, "region"), "r_name", "region", 0).unionByName(claim(table(spark, d, "nation"), "n_name", "nation", 1))
+    claims = claims.unionByName(claim(docs.select("source").filter("source IS NOT NULL").distinct(), "source", "source", 2))
+    hit = words.join(first_claims(claims), "string").groupBy("doc_id").agg(F.min_by("text_class", "part").alias("text_class"))
+    return docs.select("doc_id").join(hit, "doc_id", "left").select("doc_id", F.coalesce("text_class", F.lit("free_text")).alias("text_class"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'F')")
@@ -393,48 +453,172 @@ def cypher_nodes(spark, d):
 
 
 @query("""
-SELECT l_orderkey, CASE WHEN count(DISTINCT l_linestatus) > 1 THEN 'conflict' ELSE 'known' END AS direction, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS sources
+SELECT l_orderkey, count(DISTINCT l_linestatus) > 1 AS conflict, CASE WHEN count(DISTINCT l_linestatus) = 1 THEN min(l_linestatus) END AS orientation,
+       string_agg(DISTINCT CASE WHEN l_linenumber > 3 THEN 'propagated(' || l_returnflag || ':' || l_linenumber || ')' ELSE l_returnflag || ':' || l_linenumber END, ',' ORDER BY CASE WHEN l_linenumber > 3 THEN 'propagated(' || l_returnflag || ':' || l_linenumber || ')' ELSE l_returnflag || ':' || l_linenumber END) AS refs
 FROM lineitem GROUP BY l_orderkey
 """)
 def evidence_direction(spark, d):
-    li = table(spark, d, "lineitem").groupBy("l_orderkey")
-    return li.agg(F.when(F.count_distinct("l_linestatus") > 1, "conflict").otherwise("known").alias("direction"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("sources"))
+    """Orders as runs, their lines as evidence."""
+    li = table(spark, d, "lineitem")
+    e = li.select(F.lit("doc").alias("document"), F.lit(0).alias("sheet"), F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("seq"), F.col("l_linestatus").alias("orientation"), F.col("l_returnflag").alias("source"), F.col("l_linenumber").cast("string").alias("evidence_id"), (F.col("l_linenumber") > 3).alias("propagated"))
+    return assembly.flows(e).select(F.col("ord").alias("l_orderkey"), "conflict", F.col("flow.orientation").alias("orientation"), F.array_join("refs", ",").alias("refs"))
 
 
-EDGES = "SELECT o_custkey AS a, ((o_orderkey // 30) * 7919 + o_custkey * 31) % 1500 AS b FROM orders WHERE o_orderkey % 30 = 0"
+# The orders of a customer are a sheet's vertices; one is linked with the customer's order before it if their states are the same.
+ISLANDS = """
+WITH o AS (SELECT o_orderkey AS id, o_custkey AS sheet, CASE WHEN o_orderstatus = lag(o_orderstatus) OVER w THEN 0 ELSE 1 END AS opens FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+i AS (SELECT *, sum(opens) OVER (PARTITION BY sheet ORDER BY id) AS n FROM o), c AS (SELECT id, sheet, min(id) OVER (PARTITION BY sheet, n) AS component FROM i)
+"""
 
 
 def edges(spark, d) -> DataFrame:
-    o = table(spark, d, "orders").filter("o_orderkey % 30 = 0")
-    return o.select(F.col("o_custkey").alias("a"), F.expr("((o_orderkey div 30) * 7919 + o_custkey * 31) % 1500").alias("b"))
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    before = F.when(F.lag("o_orderstatus").over(w) == F.col("o_orderstatus"), F.lag("o_orderkey").over(w))
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("sheet"), F.col("o_orderkey").alias("a"), F.coalesce(before, "o_orderkey").alias("b"))
 
 
-REACH = f"""
-WITH RECURSIVE e AS ({EDGES}), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e),
-r AS (SELECT a AS id, a AS m FROM u UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.m), c AS (SELECT id, min(m) AS component FROM r GROUP BY id)
-"""
-
-
-@query(REACH + "SELECT * FROM c")
+@query(ISLANDS + "SELECT id, component FROM c")
 def components(spark, d):
-    return graph.components(edges(spark, d))
+    return graph.components(edges(spark, d).select("a", "b"))
 
 
-@query(REACH + "SELECT * FROM c")
+@query(ISLANDS + "SELECT sheet, id, component FROM c")
 def components_by_group(spark, d):
-    return graph.components_by(edges(spark, d).withColumn("sheet", F.lit(0)), ["sheet"]).select("id", "component")
+    return graph.components_by(edges(spark, d), ["sheet"])
+
+
+def artifact(spark, d) -> tuple[DataFrame, DataFrame]:
+    """orders as one topology artifact a customer: open ones are valves, the others corners of the pipe, each joined to the one before."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("page"), (F.row_number().over(w) - 1).alias("pos"), F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "valve").otherwise("corner").alias("kind"), F.lag("o_orderkey").over(w).alias("before"))
+    xy = F.array((F.col("id") % 400).cast("double"), (F.col("page") % 300).cast("double"))
+    none = lambda kind: F.lit(None).cast(kind)
+    nodes = o.select("page", "pos", "id", "kind", xy.alias("xy"), none("string").alias("tag"), none("string").alias("full_tag"), none("string").alias("shape"), F.when(F.col("id") % 2 == 0, "gate").alias("subclass"), none("array<double>").alias("bbox"), none("array<string>").alias("labels"), none("int").alias("equipment"))
+    numbers = F.array(F.concat(F.lit("L"), (F.col("id") % 3).cast("string")))
+    e = o.filter("before IS NOT NULL").select("page", "pos", F.col("before").alias("a"), F.col("id").alias("b"), F.when(F.col("id") % 5 == 0, "dashed").otherwise("solid").alias("style"), F.array(xy, F.array((F.col("before") % 400).cast("double"), (F.col("page") % 300).cast("double"))).alias("points"), numbers.alias("line_numbers"), F.lit("ab").alias("direction"), F.lit("arrow").alias("direction_source"))
+    return nodes, e
 
 
-@query(REACH + "SELECT x.component, x.id AS a, y.id AS b FROM c x JOIN c y ON x.component = y.component AND x.id < y.id WHERE x.id % 7 = 0 AND y.id % 7 = 0")
+@query("""
+WITH o AS (SELECT o_custkey AS page, o_orderkey AS id, o_orderstatus = 'O' AS valve, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos FROM orders),
+v AS (SELECT *, lag(id) OVER w AS before, lag(pos) OVER w AS at FROM o WHERE valve WINDOW w AS (PARTITION BY page ORDER BY id)),
+n AS (SELECT v.page, v.id, string_agg(DISTINCT 'L' || o.id % 3, ',' ORDER BY 'L' || o.id % 3) AS numbers, string_agg(o.pos::VARCHAR, ', ' ORDER BY o.pos) AS between_ FROM v JOIN o ON o.page = v.page AND o.pos > v.at AND o.pos <= v.pos WHERE v.before IS NOT NULL GROUP BY ALL)
+SELECT page AS sheet, 'p' || page || '-node' || v.before AS source, 'p' || page || '-node' || v.id AS target, 'known' AS direction, 'arrow' AS direction_sources, n.numbers AS line_numbers,
+       'label-factory:topology: topology artifact edges ' || n.between_ AS provenance
+FROM v JOIN n USING (page, id)
+""")
 def pair_links(spark, d):
-    """All pairs of terminals of a component: terminals are every seventh vertex."""
-    c = components(spark, d).filter("id % 7 = 0")
-    return c.alias("x").join(c.alias("y"), "component").filter("x.id < y.id").select("component", F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    """Ground-truth links: valves that follow each other, with everything on the pipe between them."""
+    from orthoplan.operators.label_factory import connectivity
+
+    c = connectivity(*artifact(spark, d))
+    return c.select("sheet", "source", "target", "direction", F.array_join("direction_sources", ",").alias("direction_sources"), F.array_join("line_numbers", ",").alias("line_numbers"), "provenance")
+
+
+@query("""
+SELECT o_custkey AS sheet, 'p' || o_custkey || '-node' || o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'gate_valve' ELSE 'valve' END AS symbol_class, (o_orderkey % 400 - 8.0::DOUBLE) * 2.0::DOUBLE AS x0, (o_custkey % 300 - 8.0::DOUBLE) * 2.0::DOUBLE AS y0,
+       (o_orderkey % 400 + 8.0::DOUBLE) * 2.0::DOUBLE AS x1, (o_custkey % 300 + 8.0::DOUBLE) * 2.0::DOUBLE AS y1, 'topology artifact node ' || o_orderkey || ' (valve)' AS evidence FROM orders WHERE o_orderstatus = 'O'
+""")
+def symbol_labels(spark, d):
+    from orthoplan.operators.label_factory import symbol_labels as of
+
+    s = of(artifact(spark, d)[0], scale=2.0)
+    return s.select("sheet", "id", "symbol_class", "bbox.*", F.col("provenance.evidence").alias("evidence"))
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS page, o_orderkey AS id, row_number() OVER w - 1 AS pos, lag(o_orderkey) OVER w AS before FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
+SELECT page AS sheet, 'p' || page || '-edge' || pos AS id, CASE WHEN id % 5 = 0 THEN 'signal' ELSE 'pipe' END AS line_class, 2.0::DOUBLE * (id % 400) AS x0, 2.0::DOUBLE * (before % 400) AS x1, 2.0::DOUBLE * (page % 300) AS y FROM o WHERE before IS NOT NULL
+""")
+def line_labels(spark, d):
+    from orthoplan.operators.label_factory import line_labels as of
+
+    n = of(artifact(spark, d)[1], scale=2.0)
+    return n.select("sheet", "id", "line_class", F.col("polyline")[0]["x"].alias("x0"), F.col("polyline")[1]["x"].alias("x1"), F.col("polyline")[0]["y"].alias("y"))
+
+
+@query("SELECT o_custkey AS page, o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN 'p' || o_custkey || '-node' || o_orderkey END AS terminal FROM orders")
+def terminal_names(spark, d):
+    from orthoplan.operators.label_factory import terminal_names as of
+
+    return of(artifact(spark, d)[0])
+
+
+def equipment(spark, d) -> tuple[DataFrame, DataFrame]:
+    """parts as equipment and instruments of one artifact a size, and lines that carry brands."""
+    p = table(spark, d, "part")
+    k = F.col("p_partkey")
+    none = lambda kind: F.lit(None).cast(kind)
+    kind = F.element_at(F.array(F.lit("equipment"), F.lit("instrument"), F.lit("off-page")), (k % 3 + 1).cast("int"))
+    nodes = p.select(F.col("p_size").alias("page"), k.alias("pos"), k.alias("id"), kind.alias("kind"), F.array((k % 90).cast("double"), (k % 70).cast("double")).alias("xy"), F.col("p_brand").alias("tag"), F.when(k % 2 == 0, F.concat("p_brand", F.lit("-"), F.col("p_size").cast("string"))).alias("full_tag"), none("string").alias("shape"), none("string").alias("subclass"), none("array<double>").alias("bbox"), F.when(k % 3 == 2, F.array(F.concat(F.lit(" "), F.col("p_type")))).alias("labels"), none("int").alias("equipment"))
+    e = p.select(F.col("p_size").alias("page"), k.alias("pos"), k.alias("a"), k.alias("b"), F.lit("solid").alias("style"), F.array().cast("array<array<double>>").alias("points"), F.array(F.col("p_brand"), F.col("p_name")).alias("line_numbers"), none("string").alias("direction"), none("string").alias("direction_source"))
+    return nodes, e
+
+
+CLAIMS = """
+WITH c AS (
+  SELECT p_size AS page, trim(p_brand) AS string, 'equipment_tag' AS cls, 0 AS part, p_partkey AS pos, 0 AS k, 'equipment node ' || p_partkey AS detail FROM part WHERE p_partkey % 3 = 0
+  UNION ALL SELECT p_size, trim(p_brand), 'instrument_tag', 0, p_partkey, 0, 'instrument node ' || p_partkey FROM part WHERE p_partkey % 3 = 1
+  UNION ALL SELECT p_size, p_brand || '-' || p_size, 'instrument_tag', 0, p_partkey, 1, 'instrument node ' || p_partkey FROM part WHERE p_partkey % 3 = 1 AND p_partkey % 2 = 0
+  UNION ALL SELECT p_size, trim(p_type), 'opc_label', 0, p_partkey, 0, 'off-page node ' || p_partkey FROM part WHERE p_partkey % 3 = 2
+  UNION ALL SELECT p_size, trim(p_brand), 'line_number', 1, p_partkey, 0, 'edge ' || p_partkey FROM part UNION ALL SELECT p_size, trim(p_name), 'line_number', 1, p_partkey, 0, 'edge ' || p_partkey FROM part
+), f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY page, string ORDER BY part, pos, k) = 1)
+"""
+
+
+@query(CLAIMS + "SELECT page, string, cls AS text_class, detail FROM f")
+def known_strings(spark, d):
+    from orthoplan.operators.label_factory import known_strings as of
+
+    return of(*equipment(spark, d))
+
+
+@query(CLAIMS + """, s AS (SELECT p_size AS page, p_partkey AS pos, CASE WHEN p_partkey % 4 = 0 THEN p_type WHEN p_partkey % 4 = 1 THEN p_brand WHEN p_partkey % 4 = 2 THEN p_name ELSE upper(p_name) END AS string FROM part)
+SELECT s.page AS sheet, s.pos, s.string, coalesce(cls, 'free_text') AS text_class, 'PDF text layer span ' || s.pos || ' of page ' || s.page || coalesce('; matches ' || cls || ' ' || chr(39) || s.string || chr(39) || ' from topology artifact ' || detail, '; matches no artifact string') AS evidence
+FROM s LEFT JOIN f ON f.page = s.page AND f.string = s.string
+""")
+def text_labels(spark, d):
+    """Spans far from every bubble: a known string or free text."""
+    from orthoplan.operators.label_factory import text_labels as of
+
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    string = F.when(k % 4 == 0, F.col("p_type")).when(k % 4 == 1, F.col("p_brand")).when(k % 4 == 2, F.col("p_name")).otherwise(F.upper("p_name"))
+    spans = p.select(F.col("p_size").alias("page"), k.alias("pos"), string.alias("string"), F.array(*[F.lit(x) for x in (5000.0, 5000.0, 5010.0, 5010.0)]).alias("bbox"))
+    return of(*equipment(spark, d), spans).select("sheet", "pos", "string", "text_class", F.col("provenance.evidence").alias("evidence"))
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS sheet, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS run, min(o_orderkey) OVER (PARTITION BY o_custkey) AS seed FROM orders)
+SELECT sheet, run, 'from_to' AS orientation, 'arrow' AS source, seed::VARCHAR AS evidence_id, run > 0 AS propagated FROM o
+""")
+def propagated(spark, d):
+    """A customer's orders as a chain of runs: the first one's arrow reaches them all."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = table(spark, d, "orders").select(F.lit("doc").alias("document"), F.col("o_custkey").cast("int").alias("sheet"), (F.row_number().over(w) - 1).alias("run"), F.col("o_orderkey").alias("k"), F.lead("o_orderkey").over(w).isNotNull().alias("more"))
+    seeds = o.filter("run = 0").select("document", "sheet", "run", F.lit(1).alias("seq"), F.lit("from_to").alias("orientation"), F.lit("arrow").alias("source"), F.col("k").cast("string").alias("evidence_id"))
+    ends = o.select("document", "sheet", "run", F.explode(F.array(F.when(F.col("run") > 0, F.lit(0)), F.when(F.col("more"), F.lit(1)))).alias("end")).filter("end IS NOT NULL")
+    members = ends.withColumn("junction", F.col("run") + F.col("end") - 1)
+    return assembly.propagated(seeds, members).select("sheet", "run", "orientation", "source", "evidence_id", "propagated")
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS sheet, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS run, o_orderkey % 6 AS place FROM orders),
+f AS (SELECT sheet, place, min(run) AS first, count(*) AS n FROM o GROUP BY ALL), j AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY first) - 1 AS junction FROM f)
+SELECT o.sheet, run, 0 AS "end", junction, place * 10.0::DOUBLE AS x FROM o JOIN j USING (sheet, place) WHERE n > 1
+""")
+def loose_junctions(spark, d):
+    """Loose ends at six places of a sheet: those that share one are a junction."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = table(spark, d, "orders").select(F.lit("doc").alias("document"), F.col("o_custkey").cast("int").alias("sheet"), (F.row_number().over(w) - 1).alias("run"), F.lit(0).alias("end"), g.point(F.col("o_orderkey") % 6 * 10, F.lit(0)).alias("p"), F.lit(None).cast("int").alias("terminal"))
+    return assembly.loose_junctions(o).select("sheet", "run", "end", "junction", "x")
 
 
 @query("SELECT p_name, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS sheets FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) > 1")
 def cross_sheet_links(spark, d):
-    return table(spark, d, "part").groupBy("p_name").agg(F.array_sort(F.collect_set("p_brand")).alias("s")).filter(F.size("s") > 1).select("p_name", F.array_join("s", ",").alias("sheets"))
+    from orthoplan.operators.plant import cross_sheet_links as of
+
+    runs = table(spark, d, "part").select(F.lit("doc").alias("document"), F.col("p_brand").alias("sheet"), F.array("p_name").alias("line_numbers"))
+    return of(assembly.Assembly(None, None, runs, None, None, None)).select(F.col("lineNumber").alias("p_name"), F.array_join("sheets", ",").alias("sheets"))
 
 
 ORDERED = "l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
@@ -442,8 +626,16 @@ ORDERED = "l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_di
 
 @query(f"SELECT l_orderkey, l_partkey, l_extendedprice, 'p' || l_orderkey || 'n' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY {ORDERED}) - 1) AS number FROM lineitem")
 def record_numbering(spark, d):
+    """Orders as sheets, their lines as terminals."""
+    from orthoplan.operators.plant import allocations
+
     w = Window.partitionBy("l_orderkey").orderBy(*[c.strip() for c in ORDERED.split(",")])
-    return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", F.concat(F.lit("p"), F.col("l_orderkey").cast("string"), F.lit("n"), (F.row_number().over(w) - 1).cast("string")).alias("number"))
+    li = table(spark, d, "lineitem").select(F.lit("doc").alias("document"), F.col("l_orderkey").alias("sheet"), F.row_number().over(w).alias("ord"), "l_partkey", "l_extendedprice")
+    none = lambda schema: spark.createDataFrame([], schema)
+    end = "struct<terminal:int,nozzle:int,junction:int>"
+    a = assembly.Assembly(li, none("document string, sheet long, ord int, terminal int"), none(f"document string, sheet long, ord int, polyline array<struct<x:double,y:double>>, ends array<{end}>"), None, None, None)
+    n = allocations(a).select("sheet", F.col("ref").alias("ord"), "number")
+    return li.join(n, ["sheet", "ord"]).select(F.col("sheet").alias("l_orderkey"), "l_partkey", "l_extendedprice", "number")
 
 
 # --- geometry ---------------------------------------------------------------
@@ -525,36 +717,102 @@ def drop_vanished(spark, d):
     return table(spark, d, "orders").select("o_orderkey", "o_custkey").join(gone, "o_orderkey", "left_anti")
 
 
-# --- statistics -------------------------------------------------------------
+# --- kernels ----------------------------------------------------------------
+
+
+def rasters(spark, d) -> DataFrame:
+    """A little sheet a document: the 32 hex digits of its text's digest as eight by four gray pixels."""
+    digest = F.encode(F.md5(F.coalesce("text", F.lit(""))), "UTF-8")
+    return table(spark, d, "documents").select(F.lit("doc").alias("document"), F.col("doc_id").cast("int").alias("sheet"), F.lit(8).alias("width"), F.lit(4).alias("height"), digest.alias("raster"))
 
 
 @query("""
-WITH h AS (SELECT n_chars % 256 AS v, count(*) AS n FROM documents GROUP BY 1),
-c AS (SELECT v, sum(n) OVER (ORDER BY v) AS w0, sum(v * n) OVER (ORDER BY v) AS s0, sum(n) OVER () AS w, sum(v * n) OVER () AS s FROM h),
-b AS (SELECT v, w0 * (w - w0)::DOUBLE * power(s0 / w0::DOUBLE - (s - s0) / nullif(w - w0, 0)::DOUBLE, 2) AS between_ FROM c)
-SELECT v AS threshold FROM b WHERE between_ IS NOT NULL ORDER BY round(between_, 3) DESC, v LIMIT 1
+WITH p AS (SELECT doc_id, unnest(list_transform(string_split(md5(coalesce(text, '')), ''), lambda c: ascii(c))) AS v FROM documents),
+h AS (SELECT doc_id, v, count(*) AS n FROM p GROUP BY ALL),
+c AS (SELECT doc_id, v, sum(n) OVER w AS w0, sum(v * n) OVER w AS s0, sum(n) OVER (PARTITION BY doc_id) AS w, sum(v * n) OVER (PARTITION BY doc_id) AS s FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY v)),
+b AS (SELECT doc_id, v, (w0 * (w - w0))::DOUBLE * ((s0::DOUBLE / w0 - (s - s0)::DOUBLE / (w - w0)) * (s0::DOUBLE / w0 - (s - s0)::DOUBLE / (w - w0))) AS between_ FROM c WHERE w > w0)
+SELECT doc_id, arg_max(v, (round(between_, 6), -v)) AS threshold, 400 AS width, 200 AS height, 50.0::DOUBLE AS scale FROM b GROUP BY doc_id
 """)
 def otsu_histogram(spark, d):
-    """Otsu's threshold of a histogram: at most 256 rows reach the windows."""
-    h = table(spark, d, "documents").groupBy((F.col("n_chars") % 256).alias("v")).agg(F.count("*").alias("n"))
-    up, every = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = F.col("v") * F.col("n")
-    c = h.select("v", F.sum("n").over(up).alias("w0"), F.sum(s).over(up).alias("s0"), F.sum("n").over(every).alias("w"), F.sum(s).over(every).alias("s"))
-    rest = F.col("w") - F.col("w0")
-    between = F.when(rest > 0, F.col("w0") * rest.cast("double") * F.pow(F.col("s0") / F.col("w0") - (F.col("s") - F.col("s0")) / rest, 2))
-    return c.withColumn("b", F.round(between, 3)).filter("b IS NOT NULL").orderBy(F.desc("b"), "v").limit(1).select(F.col("v").alias("threshold"))
+    """Otsu's threshold and the size of the normalized sheet."""
+    from orthoplan.operators.raster import normalize
 
+    n = normalize.normalized_sheets(rasters(spark, d))
+    return n.select(F.col("sheet").cast("long").alias("doc_id"), "normalization.threshold", "width", "height", "normalization.scale")
 
-@query("SELECT p_brand, list_sort(list(p_size))[count(*) // 2 + 1] AS median FROM part GROUP BY p_brand")
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS pixels, 8 AS width, 4 AS height FROM documents")
+def png_round_trip(spark, d):
+    from orthoplan.operators.raster import png
+
+    files = png.encoded(rasters(spark, d)).select(F.col("sheet").cast("string").alias("path"), F.col("png").alias("content"))
+    return png.decoded(files).select(F.col("path").cast("long").alias("doc_id"), F.decode("raster", "UTF-8").alias("pixels"), "width", "height")
+
+
+@query("""
+SELECT p_brand, 'x' || p_brand AS name, list_sort(list(p_size))[count(*) // 2 + 1] + 4 AS width, list_sort(list(p_size % 7))[count(*) // 2 + 1] + 4 AS height, 0.25::DOUBLE AS threshold, count(*) AS examples FROM part GROUP BY p_brand
+""")
 def upper_median(spark, d):
-    """The upper median from value counts: a brand's sizes are few, its rows are not."""
-    n = table(spark, d, "part").groupBy("p_brand", "p_size").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("p_brand")
-    n = n.withColumn("up", F.sum("n").over(w.orderBy("p_size").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w))
-    return n.filter("up > all div 2").groupBy("p_brand").agg(F.min("p_size").alias("median"))
+    """Prototypes of solid crops: the upper median of either side, the least threshold, as nothing can be told apart."""
+    from orthoplan.operators.raster import detector
+
+    w, h = F.col("p_size") + 4, F.col("p_size") % 7 + 4
+    crops = table(spark, d, "part").select(F.concat(F.lit("x"), "p_brand").alias("symbol_class"), w.alias("width"), h.alias("height"), F.encode(F.repeat(F.lit("\u0001"), w * h), "UTF-8").alias("bits"), F.lit(None).cast("struct<x:double,y:double>").alias("direction"))
+    return detector.trained(crops).select(F.substring("symbol_class", 2, 100).alias("p_brand"), "name", "width", "height", "threshold", "examples")
+
 
+# --- the fixture sheet: what must come out of it is written down ---------------
 
-@query()
+
+@query("""SELECT * FROM (VALUES (1, 'T-101', 'V-101', 'known', 1.0::DOUBLE), (1, 'V-101', 'T-102', 'unknown', 1.0::DOUBLE), (1, 'T-102', 'OPC-DW02-0003', 'unknown', 1.0::DOUBLE)) v(sheet, source, target, direction, confidence)""")
 def digitize_synthetic(spark, d):
     """The whole way from annotations to a plant graph on the fixture sheet; no driver table."""
-    return fixture.plant_edges(spark)
+    return fixture.plant_edges(spark).drop("provenance")
+
+
+@query("""SELECT * FROM (VALUES (0, 'T-101', 'T-101', 'tank', ''), (2, 'V-101', 'V-101', 'valve', ''), (3, 'T-102', 'T-102', 'tank', ''), (4, 'PI-100', 'PI-100', 'instrument', ''), (5, 'OPC-DW02-0003', 'DW02-0003', 'line', 'DW02-0003')) v(ord, tag, name, equipment_type, labels)""")
+def fixture_nodes(spark, d):
+    """The plant graph's nodes: five symbols name a plant item."""
+    return plant.nodes(fixture.assembly(spark)).select("ord", "tag", "name", "equipment_type", F.array_join("labels", ",").alias("labels"))
+
+
+@query("""SELECT * FROM (VALUES ('terminal', 0, 'p1n0'), ('nozzle', 1, 'p1n1'), ('terminal', 2, 'p1n2'), ('terminal', 3, 'p1n3'), ('terminal', 4, 'p1n4'), ('terminal', 5, 'p1n5'), ('corner', 2, 'p1n6')) v(kind, ref, number)""")
+def fixture_numbers(spark, d):
+    """Node numbers: the tank's nozzle comes right behind it, the one corner of the three runs last."""
+    return plant.allocations(fixture.assembly(spark)).select("kind", "ref", "number")
+
+
+@query("""
+SELECT * FROM (VALUES ('p1s0', 'p1n1', 'p1n2', 114.0::DOUBLE, 'from_to', 'arrow'), ('p1s1', 'p1n2', 'p1n3', 120.0::DOUBLE, NULL, NULL), ('p1s2', 'p1n3', 'p1n6', 30.0::DOUBLE, NULL, NULL), ('p1s3', 'p1n6', 'p1n5', 25.0::DOUBLE, NULL, NULL)) v(id, "from", "to", length, flow, flow_source)
+""")
+def fixture_segments(spark, d):
+    s = plant.segments(fixture.assembly(spark), fixture.SEMANTICS)
+    return s.select("id", "from", "to", "length", F.col("flowDirection").alias("flow"), F.col("flowDirectionSource").alias("flow_source"))
+
+
+@query("""SELECT * FROM (VALUES ('Equipment', 2), ('Nozzle', 1), ('PipingComponent', 1), ('ProcessInstrumentationFunction', 1), ('PipingNetworkSegment', 4), ('PipeOffPageConnector', 1), ('PipingNode', 1)) v(kind, records)""")
+def fixture_records(spark, d):
+    out = plant.records(fixture.assembly(spark), fixture.SEMANTICS)
+    return reduce(DataFrame.unionByName, [t.agg(F.count("*").cast("int").alias("records")).select(F.lit(k).alias("kind"), "records") for k, t in out.items()])
+
+
+@query("""SELECT * FROM (VALUES (0, 'T-101'), (1, 'V-101'), (2, 'T-102'), (3, 'PI-100'), (4, '150-GA-001'), (5, 'DW02-0003')) v(pos, string)""")
+def fixture_repairs(spark, d):
+    """The fixture's texts with every digit misread, decoded again."""
+    t = lexicon.decoded(annotations.texts(fixture.sheets(spark), True), fixture.GRAMMAR)
+    return t.filter("resolved").select("pos", "string")
+
+
+@query("""
+SELECT * FROM (VALUES (0, 'p1-line0', 'pipe'), (1, 'p1-line1', 'pipe')) v(pos, id, line_class)
+""")
+def fixture_lines(spark, d):
+    """Two strokes that meet a symbol's box between them: two runs, whatever the symbol's own ink."""
+    import numpy as np
+
+    from orthoplan.operators.raster import lines
+
+    a = np.full((200, 400), 255, np.uint8)
+    a[110, 40:181], a[110, 200:321], a[100:121, 180:201] = 0, 0, 0
+    s = fixture.sheets(spark, fixture.sheet(symbols=[("gate_valve", (180, 100, 200, 120), None)], lines=[], texts=[], raster=a.tobytes()))
+    return lines.line_network(s, annotations.symbols(s), fixture.legend(spark), {"solid": "pipe"}).select("pos", "id", "line_class")

@@ -44,11 +44,33 @@ def nearest(left: DataFrame, right: DataFrame, on: list[str], distance: Column,
     return j.groupBy(*key).agg(F.min_by(F.struct(*keep), F.struct(distance, F.col(order))).alias("n")).select(*key, "n.*")
 
 
-def attach_ends(ends: DataFrame, boxes: DataFrame, tolerance: float = SNAP, by: list[str] | None = None) -> DataFrame:
+def nearest_along(left: DataFrame, right: DataFrame, on: list[str], value: str, order: str, key: list[str]) -> DataFrame:
+    """nearest() along one axis: left(on, key, value), right(on, order, value) -> key, order of the right row with the nearest
+    value, the first in order among equals. Two sorted passes instead of every pair."""
+    places = right.groupBy(*on, value).agg(F.min(order).alias("o"))
+    none = F.lit(None).cast(places.schema["o"].dataType)
+    every = places.select(*on, value, "o", *[F.lit(None).cast(left.schema[k].dataType).alias(k) for k in key], F.lit(0).alias("side"))
+    every = every.unionByName(left.select(*on, value, none.alias("o"), *key, F.lit(1).alias("side")))
+    place = F.when(F.col("side") == 0, F.struct(F.col(value).alias("v"), "o"))
+    up = Window.partitionBy(*on).orderBy(F.col(value), "side").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*on).orderBy(F.col(value).desc(), "side").rowsBetween(Window.unboundedPreceding, 0)
+    found = every.withColumn("below", F.last(place, ignorenulls=True).over(up)).withColumn("above", F.last(place, ignorenulls=True).over(down)).filter("side = 1")
+    ranked = [F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(value) - F.col(f"{c}.v")).alias("d"), F.col(f"{c}.o").alias("o"))) for c in ("below", "above")]
+    return found.withColumn("n", F.least(*ranked)).filter("n IS NOT NULL").select(*key, F.col("n.o").alias(order))
+
+
+#: Side of the grid cells in which run ends meet boxes.
+CELL = 64.0
+
+
+def attach_ends(ends: DataFrame, boxes: DataFrame, tolerance: float = SNAP, by: list[str] | None = None, cell: float = CELL) -> DataFrame:
     """ends(by, run, end, p), boxes(by, terminal, nozzle, bbox) -> the end's first touching box: nozzles of all terminals before
-    any terminal's own box, each in order. Not the nearest one."""
+    any terminal's own box, each in order. Not the nearest one. An end meets the boxes of its grid cell only."""
     by = by or SHEET
-    hit = ends.join(boxes, by).filter(g.near_box(F.col("p"), F.col("bbox"), tolerance))
+    across = lambda low, high: F.sequence(*[F.floor((F.col(f"bbox.{c}") + t) / cell) for c, t in ((low, -tolerance), (high, tolerance))])
+    tiles = boxes.withColumn("gx", F.explode(across("x0", "x1"))).withColumn("gy", F.explode(across("y0", "y1")))
+    placed = ends.withColumn("gx", F.floor(F.col("p.x") / cell)).withColumn("gy", F.floor(F.col("p.y") / cell))
+    hit = placed.join(tiles, [*by, "gx", "gy"]).filter(g.near_box(F.col("p"), F.col("bbox"), tolerance))
     rank = F.struct(F.col("nozzle").isNull(), "terminal", F.coalesce("nozzle", F.lit(-1)))
     first = hit.groupBy(*by, "run", "end").agg(F.min_by(F.struct("terminal", "nozzle"), rank).alias("a"))
     return ends.join(first, [*by, "run", "end"], "left").select(*by, "run", "end", "p", "a.terminal", "a.nozzle")
@@ -83,8 +105,9 @@ def propagated(seeds: DataFrame, members: DataFrame) -> DataFrame:
 
     def walk(key, s: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         evidence: dict[int, list[tuple]] = {}
-        for r in s.sort_values("seq").itertuples():
+        for r in s.sort_values("seq").itertuples() if "seq" in s else ():
             evidence.setdefault(r.run, []).append((r.orientation, r.source, r.evidence_id, False))
+        m = m if "run" in m else pd.DataFrame(columns=["run", "end", "junction"])  # a side without rows comes without columns
         at = {(r.run, r.end): r.junction for r in m.itertuples()}
         meets: dict[int, list[tuple[int, int]]] = {}
         for r in m.sort_values(["run", "end"]).itertuples():
@@ -115,9 +138,20 @@ def propagated(seeds: DataFrame, members: DataFrame) -> DataFrame:
         rows = [(*key, run, i, *e) for run, es in evidence.items() for i, e in enumerate(es)]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in EVIDENCE.split(", ")])
 
+    members = members.select(*[F.col(c).alias(c) for c in (*SHEET, "run", "end", "junction")])  # attributes of its own, whatever it shares with seeds
     return seeds.groupBy(*SHEET).cogroup(members.groupBy(*SHEET)).applyInPandas(walk, EVIDENCE)
 
 
+def flows(evidence: DataFrame) -> DataFrame:
+    """Per run: conflict (its evidence points both ways), flow (of the first evidence, seeds before propagated, if it does not) and
+    all references."""
+    e = evidence.groupBy(*SHEET, F.col("run").alias("ord")).agg(
+        (F.count_distinct("orientation") > 1).alias("conflict"), F.min_by(F.struct("orientation", "source", "propagated"), F.struct("propagated", "seq")).alias("f"),
+        F.array_sort(F.collect_set(tx.evidence_ref(F.col("source"), F.col("evidence_id"), F.col("propagated")))).alias("refs"),
+    )
+    return e.select(*SHEET, "ord", "conflict", F.when(~F.col("conflict"), F.col("f")).alias("flow"), "refs")
+
+
 def _order(*columns: Column) -> Column:
     return F.struct(*[c.cast("int").alias(f"o{i}") for i, c in enumerate(columns)]).alias("o")
 
@@ -189,14 +223,10 @@ def assembled(symbols: DataFrame, lines: DataFrame, texts: DataFrame, legend: Da
     seeds = seeds.withColumn("seq", F.row_number().over(Window.partitionBy(*SHEET, "run").orderBy("o"))).drop("o")
     evidence = written(propagated(seeds, members), "evidence")
 
-    rank = F.struct("propagated", "seq")
-    flow = evidence.groupBy(*SHEET, F.col("run").alias("ord")).agg(
-        F.count_distinct("orientation").alias("n"), F.min_by(F.struct("orientation", "source", "propagated"), rank).alias("f"),
-        F.array_sort(F.collect_set(tx.evidence_ref(F.col("source"), F.col("evidence_id"), F.col("propagated")))).alias("refs"),
-    )
+    flow = flows(evidence)
     both = ends.groupBy(*SHEET, F.col("run").alias("ord")).agg(F.transform(F.array_sort(F.collect_list(F.struct("end", "terminal", "nozzle", "junction"))), lambda e: F.struct(e["terminal"].alias("terminal"), e["nozzle"].alias("nozzle"), e["junction"].alias("junction"))).alias("ends"))
     runs = runs.join(both, [*SHEET, "ord"]).join(per_run, [*SHEET, "ord"], "left").join(flow, [*SHEET, "ord"], "left")
-    runs = runs.withColumns({"conflict": F.coalesce(F.col("n") > 1, F.lit(False)), "flow": F.when(F.col("n") == 1, F.col("f"))}).drop("n", "f")
+    runs = runs.withColumn("conflict", F.coalesce("conflict", F.lit(False)))
     junctions = members.groupBy(*SHEET, "junction").agg(F.first(g.point(F.col("x"), F.col("y"))).alias("point"), F.array_sort(F.collect_list("run")).alias("ords"))
     terminals, runs = written(terminals, "terminals"), written(runs, "runs")
     every = written(reduce(DataFrame.unionByName, problems), "problems")

@@ -104,34 +104,43 @@ def link_counts(pred: DataFrame, truth: DataFrame, by: list[str] | None = None)
     return both.select(*by, "low", "high", F.least("cp", "ct").alias("tp"), F.greatest(F.col("cp") - F.col("ct"), F.lit(0)).alias("fp"), F.greatest(F.col("ct") - F.col("cp"), F.lit(0)).alias("fn"))
 
 
+DIRECTIONS = ["agreeing", "conflicting", "unasserted"]
+
+
 def link_directions(pred: DataFrame, truth: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Of the truth links with a known direction, per pair: agreeing, conflicting and unasserted.
 
-    In truth order each takes one predicted copy: one that agrees, else the first that asserts anything.
+    In truth order each takes one predicted copy: one that agrees, else the first that asserts anything. Both sides come as
+    one stream, pair by pair, predictions first; a task holds the asserting copies of one pair at a time.
     """
     by = by or ["sheet"]
-    cols = [*by, "pos", "source", "target", "direction", *pair(F.col("source"), F.col("target"))]
     keys = [*by, "low", "high"]
-    known = truth.filter("direction = 'known'").select(*cols)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in known.select(*keys).schema) + ", agreeing long, conflicting long, unasserted long"
-
-    def consume(key, t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if t.empty:
-            return pd.DataFrame(columns=[*keys, "agreeing", "conflicting", "unasserted"])
-        copies = list(p.sort_values("pos")[["source", "target", "direction"]].itertuples(index=False))
-        agreeing = conflicting = 0
-        for s, e in t.sort_values("pos")[["source", "target"]].itertuples(index=False):
-            hit = next((c for c in copies if c.direction == "known" and (c.source, c.target) == (s, e)), None)
-            if hit is not None:
-                agreeing += 1
-            else:
-                hit = next((c for c in copies if c.direction in ("known", "conflict")), None)
-                conflicting += hit is not None
-            if hit is not None:
-                copies.pop(next(i for i, c in enumerate(copies) if c is hit))
-        return pd.DataFrame([[*key, agreeing, conflicting, len(t) - agreeing - conflicting]], columns=[*keys, "agreeing", "conflicting", "unasserted"])
-
-    return known.groupBy(*keys).cogroup(pred.select(*cols).groupBy(*keys)).applyInPandas(consume, schema)
+    row = lambda d, side: d.select(*by, "pos", *pair(F.col("source"), F.col("target")), (F.col("source") <= F.col("target")).alias("up"), "direction", F.lit(side).alias("side"))
+    both = row(pred.filter("direction IN ('known', 'conflict')"), 0).unionByName(row(truth.filter("direction = 'known'"), 1))
+    both = both.repartition(*keys).sortWithinPartitions(*keys, "side", "pos").select(*keys, "up", "direction", "side")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.select(*keys).schema) + ", " + ", ".join(f"{c} long" for c in DIRECTIONS)
+
+    def consume(batches):
+        now, left, counts = None, [], [0, 0, 0]
+        for pdf in batches:
+            out = []
+            for *key, up, direction, side in zip(*(pdf[c].tolist() for c in pdf.columns)):
+                if key != now:
+                    if sum(counts):
+                        out.append((*now, *counts))
+                    now, left, counts = key, [], [0, 0, 0]
+                if side == 0:
+                    left.append(up if direction == "known" else None)
+                    continue
+                agrees = up in left
+                counts[0 if agrees else 1 if left else 2] += 1
+                if left:
+                    left.pop(left.index(up) if agrees else 0)
+            yield pd.DataFrame(out, columns=[*keys, *DIRECTIONS])
+        if sum(counts):
+            yield pd.DataFrame([(*now, *counts)], columns=[*keys, *DIRECTIONS])
+
+    return both.mapInPandas(consume, schema)
 
 
 def predicted_links(edges: DataFrame, terminals: DataFrame, matches: DataFrame) -> DataFrame:

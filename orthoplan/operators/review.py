@@ -30,11 +30,27 @@ def latest_verdicts(log: DataFrame) -> DataFrame:
     return latest(log, ["profile_name", "profile_version", "sheet", "detection_id"], ["seq"])
 
 
+#: Least length of a stretch of a timeline that one task sorts.
+STRETCH_MINUTES = 60.0
+
+
+def stretched(events: DataFrame, idle_minutes: float) -> tuple[DataFrame, int]:
+    """+ stretch: the number of the fixed stretch of time that the event falls in. A stretch is never shorter than a break, so
+    the event behind a stretch's last one, if no break lies between them, is the first of the next stretch. A timeline is
+    thus sorted stretch by stretch, however long it is."""
+    idle = int(idle_minutes * 60_000_000)
+    length = max(int(STRETCH_MINUTES * 60_000_000), idle)
+    return events.withColumn("stretch", F.floor(F.unix_micros("at") / F.lit(length)).cast("long")), idle
+
+
 def intervals(events: DataFrame, by: list[str], idle_minutes: float = IDLE_MINUTES) -> DataFrame:
-    """+ micros: time to the timeline's next event, null after a break or the last event. Each timeline (by) is a partition."""
-    w = Window.partitionBy(*by).orderBy("at", "line_no")
-    gap = F.unix_micros(F.lead("at").over(w)) - F.unix_micros("at")
-    return events.withColumn("micros", F.when(gap <= F.lit(int(idle_minutes * 60_000_000)), gap))
+    """+ micros: time to the timeline's (by) next event, null after a break or the last event."""
+    e, idle = stretched(events, idle_minutes)
+    first = e.groupBy(*by, (F.col("stretch") - 1).alias("stretch")).agg(F.min("at").alias("beyond"))
+    e = e.join(first, [*by, "stretch"], "left")
+    w = Window.partitionBy(*by, "stretch").orderBy("at", "line_no")
+    gap = F.unix_micros(F.coalesce(F.lead("at").over(w), F.col("beyond"))) - F.unix_micros("at")
+    return e.withColumn("micros", F.when(gap <= F.lit(idle), gap)).drop("stretch", "beyond")
 
 
 def attribute_minutes(events: DataFrame, by: list[str] | None = None, idle_minutes: float = IDLE_MINUTES) -> DataFrame:
@@ -52,11 +68,18 @@ def timed_sheets(events: DataFrame) -> DataFrame:
 
 
 def sessions(events: DataFrame, by: list[str], idle_minutes: float = IDLE_MINUTES) -> DataFrame:
-    """+ session: number of the stretch without a break, from 0."""
-    w = Window.partitionBy(*by).orderBy("at", "line_no")
-    gap = F.unix_micros("at") - F.unix_micros(F.lag("at").over(w))
-    new = F.when(gap > F.lit(int(idle_minutes * 60_000_000)), 1).otherwise(0)
-    return events.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    """+ session: number of the stretch without a break, from 0. Breaks are counted stretch by stretch; the sums of the
+    stretches before, one row each, are added."""
+    e, idle = stretched(events, idle_minutes)
+    w = Window.partitionBy(*by, "stretch").orderBy("at", "line_no")
+    e = e.withColumn("new", F.when(F.unix_micros("at") - F.unix_micros(F.lag("at").over(w)) > F.lit(idle), 1).otherwise(0))
+    whole = e.groupBy(*by, "stretch").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.sum("new").alias("inner"))
+    line = Window.partitionBy(*by).orderBy("stretch")
+    rest = F.unix_micros("first") - F.unix_micros(F.lag("last").over(line))
+    whole = whole.withColumn("opens", F.when(rest > F.lit(idle), 1).otherwise(0))
+    before = F.sum(F.col("opens") + F.col("inner")).over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("inner")
+    e = e.join(whole.select(*by, "stretch", before.alias("before")), [*by, "stretch"])
+    return e.withColumn("session", F.col("before") + F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("stretch", "new", "before")
 
 
 def judged(detections: DataFrame, verdicts: DataFrame) -> DataFrame:
