@@ -24,6 +24,9 @@ through packed in a struct, so their names cannot clash with internal ones; n_li
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +41,10 @@ _FIRST = "struct(doc_id IS NULL AS unknown, doc_id, k)"
 
 
 def form(line):
-    """The line in log form. White space that is one blank already is not matched, so most lines are only scanned."""
-    one = F.trim(F.regexp_replace(line, r"[\x09-\x0D ]{2,}|[\x09-\x0D]", " "))
-    return F.regexp_replace(one, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")
+    """The line in log form. Most lines hold neither odd white space nor a digit, and are only searched for them."""
+    odd = reduce(or_, [line.contains(c) for c in ("  ", "\t", "\x0b", "\x0c", "\r")])
+    one = F.trim(F.when(odd, F.regexp_replace(line, r"[\x09-\x0D ]+", " ")).otherwise(line))
+    return F.when(one.rlike("[0-9]"), F.regexp_replace(one, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(one)
 
 
 def n_tokens(m):
