@@ -30,17 +30,17 @@ def main(argv: list[str] | None = None) -> int:
     a = p.parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "digitize":
-        from orthoplan.operators import plant
         from orthoplan.plans import digitize
         from orthoplan.sources import pdf, profile, sinks
         from orthoplan.sources.annotations import ANNOTATIONS
 
         who, config = profile.load(a.profile), digitize.parsed(a.config)
         sheets = pdf.load(spark, a.pdf).withColumn("annotations", F.lit(None).cast(ANNOTATIONS))
-        run = digitize.resumed(sheets, a.state, who, config)[0] if a.state else digitize.digitized(sheets, who, config=config)
-        name = a.pdf.rsplit("/", 1)[-1]
-        sinks.put_json(f"{a.out}/plant_model_dexpi.json", plant.plant_model(run.assembly, name, who.identity(), who.line_semantics))
-        print(json.dumps(sinks.put_script(f"{a.out}/plant_graph.cypher", run.nodes, run.edges)))
+        run, coverage = digitize.resumed(sheets, a.state or f"{a.out}/state", who, config)
+        stored = digitize.put_outputs(run, sheets, who, a.pdf.rsplit("/", 1)[-1], a.out)
+        report = digitize.run_report(run, coverage, who)
+        sinks.put_json(f"{a.out}/run_report.json", report)
+        print(json.dumps(stored | {"coverage": report["coverage"], "failures": report["failures"]}))
     elif a.command == "evaluate":
         from orthoplan.plans import digitize, evaluation
         from orthoplan.sources import profile

@@ -156,8 +156,9 @@ def _order(*columns: Column) -> Column:
     return F.struct(*[c.cast("int").alias(f"o{i}") for i, c in enumerate(columns)]).alias("o")
 
 
-def assembled(symbols: DataFrame, lines: DataFrame, texts: DataFrame, legend: DataFrame) -> Assembly:
-    """The legend is a profile's dictionary, some hundred rows, and is broadcast."""
+def assembled(symbols: DataFrame, lines: DataFrame, texts: DataFrame, legend: DataFrame, faults: DataFrame | None = None) -> Assembly:
+    """The legend is a profile's dictionary, some hundred rows, and is broadcast. faults(document, sheet, reason): of sheets that
+    could not be read; they count as problems."""
     known = symbols.filter(F.col("symbol_class") != UNCLASSIFIED).join(F.broadcast(legend.withColumn("listed", F.lit(True))), "symbol_class", "left")
     problems = [known.filter("listed IS NULL").select(*SHEET, F.concat(F.lit("symbol class "), "symbol_class", F.lit(" ("), "id", F.lit(") is not in the legend")).alias("reason"))]
     terminals = known.filter(F.col("role").isin(*TERMINALS)).withColumnRenamed("pos", "ord")
@@ -229,6 +230,7 @@ def assembled(symbols: DataFrame, lines: DataFrame, texts: DataFrame, legend: Da
     runs = runs.withColumn("conflict", F.coalesce("conflict", F.lit(False)))
     junctions = members.groupBy(*SHEET, "junction").agg(F.first(g.point(F.col("x"), F.col("y"))).alias("point"), F.array_sort(F.collect_list("run")).alias("ords"))
     terminals, runs = written(terminals, "terminals"), written(runs, "runs")
+    problems += [] if faults is None else [faults]
     every = written(reduce(DataFrame.unionByName, problems), "problems")
     sound = lambda d: d.join(every.select(*SHEET).distinct(), SHEET, "left_anti")
     return Assembly(sound(terminals), sound(nozzles), sound(runs), sound(junctions), sound(evidence), every)

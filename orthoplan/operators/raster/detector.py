@@ -13,6 +13,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 UNCLASSIFIED = "unclassified"
+#: The class of a row that tells why a sheet could not be read; its evidence is the reason.
+FAULT = "#fault"
+
+
+def reason(e: Exception) -> dict:
+    return {"component": FAULT, "evidence": f"{type(e).__name__}: {e}"}
+
+
+def pixels(r) -> np.ndarray:
+    """The raster of a row(width, height, raster)."""
+    if r.raster is None:
+        raise ValueError(f"sheet {r.sheet} has no raster")
+    if len(r.raster) != r.width * r.height:
+        raise ValueError(f"the raster of sheet {r.sheet} has {len(r.raster)} bytes, not {r.width} x {r.height}")
+    return np.frombuffer(r.raster, np.uint8).reshape(r.height, r.width)
 # Ink, least side, share and floor of a threshold, context ring, ink ratios, suppression by overlap and by
 # containment, directions, and the legend's bands: acceptance, floor, claimed ink.
 INK, SIDE, SHARE, FLOOR, RING, LOW, HIGH, OVERLAP, CONTAINED, SECTORS = 128, 2, 0.85, 0.25, 2, 0.45, 2.5, 0.3, 0.65, 8
@@ -172,16 +187,21 @@ SYMBOLS = "document string, sheet int, pos int, id string, symbol_class string,
 
 def detections(sheets: DataFrame, prototypes: list[Prototype], component: str, legend: bool = False) -> DataFrame:
     """sheets(document, sheet, width, height, raster) -> symbols. The prototypes, one or a few for each class of a profile, are
-    broadcast once."""
+    broadcast once. A sheet that cannot be read gives one row of the class FAULT."""
+    if not prototypes:
+        raise ValueError(f"{component} has no prototypes to find symbols with")
     held = sheets.sparkSession.sparkContext.broadcast(prototypes)
 
     def rows(batches):
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
-                if r.raster is None:
-                    raise ValueError(f"{component} reads pixels; sheet {r.sheet} has no raster")
-                for i, d in enumerate(detected(np.frombuffer(r.raster, np.uint8).reshape(r.height, r.width), held.value, legend)):
+                try:
+                    found = detected(pixels(r), held.value, legend)
+                except Exception as e:  # one bad sheet never stops a run
+                    out.append((r.document, r.sheet, -1, None, FAULT, None, 0.0, reason(e), None))
+                    continue
+                for i, d in enumerate(found):
                     v = None if d["direction"] is None else dict(zip("xy", d["direction"]))
                     out.append((r.document, r.sheet, i, f"p{r.sheet}-sym{i}", d["symbol_class"], dict(zip(("x0", "y0", "x1", "y1"), d["bbox"])), d["confidence"], {"component": component, "evidence": d["evidence"]}, v))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in ("document s", "sheet s", "pos s", "id s", "symbol_class s", "bbox s", "confidence s", "provenance s", "direction s")])

@@ -116,15 +116,15 @@ def normalized(gray: np.ndarray, long_side: int = LONG_SIDE) -> tuple[np.ndarray
 
 def normalized_sheets(sheets: DataFrame, long_side: int = LONG_SIDE) -> DataFrame:
     """sheets(document, sheet, width, height, raster) -> the same in the normalized frame, + normalization. A sheet without a
-    raster passes through."""
+    raster, or with one of another size than its own, passes through."""
 
     def rows(batches):
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
-                if r.raster is None:
+                if r.raster is None or len(r.raster) != r.width * r.height:  # the readers of pixels tell what is wrong
                     f = Frame(0.0, 1.0, "none", None, (r.width, r.height), (r.width, r.height))
-                    out.append((r.document, r.sheet, r.width, r.height, None, f.__dict__))
+                    out.append((r.document, r.sheet, r.width, r.height, r.raster, f.__dict__))
                     continue
                 gray, f = normalized(np.frombuffer(r.raster, np.uint8).reshape(r.height, r.width), long_side)
                 out.append((r.document, r.sheet, gray.shape[1], gray.shape[0], gray.tobytes(), f.__dict__))

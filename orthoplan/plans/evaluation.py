@@ -74,7 +74,7 @@ def _by_sheet(order: str):
 
 def scores(run: digitize.Run, truth: EvalSet) -> dict[str, DataFrame]:
     """Per sheet: symbols (tp, fp, fn), tags (truth, exact), links (tp, fp, fn) and directions. A sheet that could not be
-    digitized has no predictions, so its truth counts as missed."""
+    digitized has no predictions (a run holds none), so its truth counts as missed."""
     pred = run.symbols.select("sheet", "pos", "id", "bbox", F.col("symbol_class").alias("cls"))
     texts = run.texts.select("sheet", "pos", "bbox", F.lit(None).cast("string").alias("cls"), "string")
     m = written(evaluate.greedy_match(evaluate.candidate_pairs(pred, truth.symbols)), "matches")

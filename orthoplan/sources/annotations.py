@@ -20,11 +20,16 @@ def noised(s: Column) -> Column:
 
 
 def _rows(sheets: DataFrame, part: str, mark: str) -> DataFrame:
-    given = F.when(F.col("annotations").isNull(), F.raise_error(F.concat(F.lit("sheet "), F.col("sheet").cast("string"), F.lit(" has no annotations")))).otherwise(F.col(f"annotations.{part}"))
-    d = sheets.select("document", "sheet", F.posexplode(given).alias("pos", "a")).select("document", "sheet", "pos", "a.*")
+    """A sheet without annotations gives no rows; missing() names it."""
+    d = sheets.select("document", "sheet", F.posexplode(F.col(f"annotations.{part}")).alias("pos", "a")).select("document", "sheet", "pos", "a.*")
     return d.withColumn("id", F.concat(F.lit("p"), F.col("sheet").cast("string"), F.lit(mark), F.col("pos").cast("string"))).withColumn("confidence", F.lit(1.0))
 
 
+def missing(sheets: DataFrame) -> DataFrame:
+    """document, sheet, reason of the sheets that have no annotations."""
+    return sheets.filter("annotations IS NULL").select("document", "sheet", F.concat(F.lit("sheet "), F.col("sheet").cast("string"), F.lit(" has no annotations")).alias("reason"))
+
+
 def _provenance(component: str, what: str) -> Column:
     return F.struct(F.lit(component).alias("component"), F.concat(F.lit(what), F.col("pos").cast("string")).alias("evidence"))
 
