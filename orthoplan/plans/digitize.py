@@ -42,8 +42,6 @@ class Config:
             name, options = chosen(spec, names, what)
             if options and name in PLAIN:
                 raise ValueError(f"the {what} {name!r} takes no options, got {options!r}")
-        if chosen(self.reader, READERS, "reader")[0] not in PLAIN:
-            ocr.options(chosen(self.reader, READERS, "reader")[1])
 
 
 def parsed(spec: str) -> Config:
@@ -117,6 +115,7 @@ def digitized(sheets: DataFrame, profile: Profile, prototypes: list | None = Non
     spark = sheets.sparkSession
     model = model_of(config, profile, prototypes)
     kind, options = chosen(config.reader, READERS, "reader")
+    options = ocr.options(options)
     if kind != "stub" and read is None:
         ocr.engine(kind)  # refused here, not in every task
     legend = profile.legend_table(spark)
@@ -128,7 +127,7 @@ def digitized(sheets: DataFrame, profile: Profile, prototypes: list | None = Non
     if kind == "stub":
         texts = annotations.texts(moved)
     else:
-        raw = ocr.recognized(norm, read or kind, profile.tag_grammar, kind, **ocr.options(options))
+        raw = ocr.recognized(norm, read or kind, profile.tag_grammar, kind, **options)
         texts = raw.withColumns({"raw_string": F.lit(None).cast("string"), "correction": F.lit(None).cast("string")})
     texts = written(texts, "read-texts")
     faults = [d.filter("pos < 0").select(*SHEET, F.col("provenance.evidence").alias("reason")) for d in (symbols, found, texts)]

@@ -90,9 +90,12 @@ def test_glyphs_of_a_legend(tmp_path):
 
 
 def test_settings_are_refused_by_name(spark):
-    for spec, why in (("detector=stub:x", "takes no options"), ("reader=tesseract:size=2", "engine option"), ("reader=rapidocr:scale=0", "engine option"), ("reader=rapidocr:scale=2,scale=3", "twice"), ("store=disk", "store is one of")):
+    for spec, why in (("detector=stub:x", "takes no options"), ("store=disk", "store is one of")):
         with pytest.raises(ValueError, match=why):
             digitize.parsed(spec)
+    for spec, why in (("reader=tesseract:size=2", "engine option"), ("reader=rapidocr:scale=0", "engine option"), ("reader=rapidocr:scale=2,scale=3", "twice")):
+        with pytest.raises(ValueError, match=why):
+            digitize.digitized(fixture.sheets(spark), PROFILE, config=digitize.parsed(spec))
     assert digitize.parsed("reader=rapidocr:scale=2,rotations=0/90,detector=stub").reader == "rapidocr:scale=2,rotations=0/90"
     s = fixture.sheets(spark, fixture.sheet(raster=drawn().tobytes()))
     for config in (digitize.Config(detector="trained"), digitize.Config(detector="trained:/no/such/folder"), digitize.Config(detector="legend-nn")):
