@@ -717,6 +717,132 @@ def drop_vanished(spark, d):
     return table(spark, d, "orders").select("o_orderkey", "o_custkey").join(gone, "o_orderkey", "left_anti")
 
 
+# --- small operators ----------------------------------------------------------
+
+
+@query("""
+SELECT c_custkey, array_to_string(list_transform(list_filter(range(1, length(c_name) + 1), lambda i: c_name[i] = '0'), lambda i: '0->O at index ' || (i - 1)), ', ') AS swaps FROM customer
+""")
+def repaired_places(spark, d):
+    return table(spark, d, "customer").select("c_custkey", tx.swaps(F.col("c_name"), F.translate("c_name", "0", "O")).alias("swaps"))
+
+
+@query("SELECT p_partkey, p_name || CASE WHEN p_partkey % 2 = 0 THEN '; tagged by text ' || p_brand ELSE '' END AS evidence FROM part")
+def combined_evidence(spark, d):
+    return table(spark, d, "part").select("p_partkey", tx.combined_evidence(F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand"))).alias("evidence"))
+
+
+@query("SELECT DISTINCT p_name, p_type, replace(url_encode(p_name), '+', '%20') || '@' || replace(url_encode(p_type), '+', '%20') AS key FROM part")
+def profile_keys(spark, d):
+    return table(spark, d, "part").select("p_name", "p_type").distinct().withColumn("key", tx.profile_key("p_name", "p_type"))
+
+
+@query("""
+SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS escaped, regexp_matches(text, '[一-鿿]') AS cjk FROM documents
+""")
+def escaped_texts(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.escaped(F.col("text")).alias("escaped"), tx.has_cjk(F.col("text")).alias("cjk"))
+
+
+ITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"]
+ITEMS = "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_partkey % 100 AS x0, l_suppkey % 50 AS y0, l_partkey % 100 + l_quantity AS x1, l_suppkey % 50 + l_linenumber AS y1, l_linenumber % 4 * 90 AS angle, l_quantity, l_linenumber AS n FROM lineitem"
+
+
+def item_boxes(spark, d) -> DataFrame:
+    x, y = F.col("l_partkey") % 100, F.col("l_suppkey") % 50
+    return table(spark, d, "lineitem").withColumn("b", g.box(x, y, x + F.col("l_quantity"), y + F.col("l_linenumber")))
+
+
+@query(f"""
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice,
+  CASE angle WHEN 90 THEN y0 WHEN 180 THEN 400 - x1 WHEN 270 THEN 400 - y1 ELSE x0 END::DOUBLE AS x0, CASE angle WHEN 90 THEN 200 - x1 WHEN 180 THEN 200 - y1 WHEN 270 THEN x0 ELSE y0 END::DOUBLE AS y0,
+  CASE angle WHEN 90 THEN y1 WHEN 180 THEN 400 - x0 WHEN 270 THEN 400 - y0 ELSE x1 END::DOUBLE AS x1, CASE angle WHEN 90 THEN 200 - x0 WHEN 180 THEN 200 - y0 WHEN 270 THEN x1 ELSE y1 END::DOUBLE AS y1
+FROM ({ITEMS})
+""")
+def unturned_boxes(spark, d):
+    return item_boxes(spark, d).select(*ITEM, g.unrotated_box(F.col("b"), F.lit(400), F.lit(200), F.col("l_linenumber") % 4 * 90).alias("u")).select(*ITEM, "u.*")
+
+
+@query(f"""
+WITH v AS (SELECT *, l_quantity - 25 AS vx, n * 7 - 20 AS vy FROM ({ITEMS}))
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, round((x0 + x1) / 2, 6)::DOUBLE AS cx, round((y0 + y1) / 2.0::DOUBLE, 6) AS cy, round(vx / sqrt(vx * vx + vy * vy), 6) AS ux,
+  CAST((round_even(atan2(vy, vx) / (pi() / 4), 0) + 8) % 8 AS INTEGER) AS sector, (x0 + 2)::DOUBLE AS tx0, (y0 + n - 2)::DOUBLE AS ty1, x1 > 20 AND x0 < 60 AND y1 > 0 AND y0 < 30 AS visible FROM v
+""")
+def box_facts(spark, d):
+    """Centres, unit vectors and their sectors, windows without their ring, and what shows on a canvas of 40 by 30 at (20, 0)."""
+    b, v = F.col("b"), g.point(F.col("l_quantity") - 25, F.col("l_linenumber") * 7 - 20)
+    trimmed = g.trimmed_box(b["x0"], b["y0"], b["x1"] - b["x0"], b["y1"] - b["y0"])
+    shown = g.visible(F.transform(g.corners(b), lambda p: g.point(p["x"] - 20, p["y"])), F.lit(40), F.lit(30))
+    rows = item_boxes(spark, d).withColumn("u", g.unit(v)).withColumn("c", g.center(b))
+    return rows.select(*ITEM, F.round("c.x", 6).alias("cx"), F.round("c.y", 6).alias("cy"), F.round("u.x", 6).alias("ux"), g.sector(F.col("u")).alias("sector"), trimmed["x0"].alias("tx0"), trimmed["y1"].alias("ty1"), shown.alias("visible"))
+
+
+@query(f"""
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, round(200 + (x0 - 200) * cos(radians(2.5)) - (y0 - 100) * sin(radians(2.5)), 6) AS x, round(100 + (x0 - 200) * sin(radians(2.5)) + (y0 - 100) * cos(radians(2.5)), 6) AS y FROM ({ITEMS})
+""")
+def degraded_points(spark, d):
+    """Places on a skewed copy of a sheet; blur and noise move nothing."""
+    from orthoplan.operators.raster import degrade
+
+    made = (degrade.Skew(2.5), degrade.Blur(1))
+    p = degrade.moved(g.point(F.col("l_partkey") % 100, F.col("l_suppkey") % 50), made, F.lit(400), F.lit(200))
+    return table(spark, d, "lineitem").withColumn("p", p).select(*ITEM, F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN lang NOT IN ('en', 'fr', 'de') THEN 'unknown verdict' WHEN source IS NULL THEN 'unknown kind' WHEN lang <> 'de' AND n_chars % 2 = 0 THEN 'only an edit carries a correction'
+  WHEN lang = 'de' AND n_chars % 2 = 1 THEN 'an edit needs a correction' WHEN n_chars % 3 = 0 THEN 'bbox is four finite numbers of a symbol or text' END AS problem FROM documents
+""")
+def refused_verdicts(spark, d):
+    doc = table(spark, d, "documents")
+    verdict = F.when(F.col("lang") == "en", "pass").when(F.col("lang") == "fr", "reject").when(F.col("lang") == "de", "edit").otherwise("maybe")
+    box = F.when(F.col("n_chars") % 3 == 0, F.array(F.lit(1.0), F.lit(2.0), F.lit(float("nan")), F.lit(4.0))).otherwise(F.array(*[F.lit(float(k)) for k in range(4)]))
+    none = F.lit(None).cast("array<array<double>>")
+    return doc.select("doc_id", review.example_problem(F.when(F.col("source").isNotNull(), "symbol"), verdict, box, none, F.lit(None).cast("string"), F.col("n_chars") % 2 == 0).alias("problem"))
+
+
+@query(f"SELECT doc_id, CASE {VERDICT} WHEN 'reject' THEN NULL WHEN 'edit' THEN CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END ELSE source END AS string FROM documents JOIN labels USING (doc_id)")
+def supervised_labels(spark, d):
+    """What a verdict says is true of a text: sources as read, languages as corrected."""
+    j = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    verdict = F.when(F.col("toxic") == 1, "reject").when(F.col("quality") == 0, "edit").otherwise("pass")
+    v = j.select("doc_id", verdict.alias("verdict"), F.struct(F.col("source").alias("string")).alias("detection"), F.struct(F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("string")).alias("correction"))
+    return review.supervised_labels(v).select("doc_id", F.col("label.string").alias("string"))
+
+
+@query("""
+SELECT o_custkey::VARCHAR AS document, count(*) AS total_sheets, count(*) FILTER (o_orderstatus <> 'F' AND o_orderkey % 3 <> 0) AS succeeded, count(*) FILTER (o_orderstatus = 'F') AS failed,
+       count(*) FILTER (o_orderkey % 3 = 0) AS skipped_by_resume, count(*) FILTER (o_orderstatus <> 'F') AS digitized FROM orders GROUP BY o_custkey
+""")
+def run_coverage(spark, d):
+    """Customers as runs, orders as sheets: every third was there before, the filled ones failed."""
+    from orthoplan.operators.batch import coverage
+
+    o = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("document"), F.col("o_orderkey").alias("sheet"), F.when(F.col("o_orderstatus") == "F", "failed").otherwise("succeeded").alias("status"))
+    return coverage(o, o, o.filter("sheet % 3 = 0"))
+
+
+@query(f"SELECT 'doc' AS document, sum(gap) / 60000000.0::DOUBLE AS minutes_outside_artifacts FROM ({GAPS}) WHERE gap <= 600000000 AND sheet NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+def minutes_outside(spark, d):
+    """Activity on sheets that the run has no record of: records are those of even customers."""
+    known = table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.lit("doc").alias("document"), F.col("c_custkey").alias("sheet"))
+    return review.minutes_outside(known, log(spark, d)).withColumn("minutes_outside_artifacts", F.col("minutes_outside_artifacts"))
+
+
+@query("""
+WITH e AS (SELECT o_orderkey, o_custkey AS a, o_custkey % 7 + 1 AS b FROM orders), n AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 't' || c_custkey ELSE '?s' || c_custkey END AS name FROM customer)
+SELECT 0 AS sheet, o_orderkey AS pos, x.name AS source, y.name AS target, 'unknown' AS direction FROM e LEFT JOIN n x ON x.k = a LEFT JOIN n y ON y.k = b
+""")
+def predicted_links(spark, d):
+    """Customers are terminals, the even ones matched with a truth symbol; orders are edges."""
+    c = table(spark, d, "customer")
+    at, own = F.lit(0).alias("sheet"), F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("id")
+    terminals = c.select(at, F.col("c_custkey").alias("ord"), F.col("c_custkey").cast("string").alias("node_tag"), own)
+    matches = c.filter("c_custkey % 2 = 0").select(at, own, F.concat(F.lit("t"), F.col("c_custkey").cast("string")).alias("truth_id"))
+    e = table(spark, d, "orders").select(at, F.col("o_orderkey").alias("pos"), F.col("o_custkey").cast("string").alias("source"), (F.col("o_custkey") % 7 + 1).cast("string").alias("target"), F.lit("unknown").alias("direction"))
+    return evaluate.predicted_links(e, terminals, matches)
+
+
 # --- kernels ----------------------------------------------------------------
 
 
