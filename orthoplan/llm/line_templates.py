@@ -19,7 +19,7 @@ taken apart into tokens, one line for each form.
 Nulls: a null text stays null, has no lines and drops none; null ids come after all others in the choice of the first
 document. Rows equal in id and text count as one document and get the same answer. A text left without lines is empty.
 Empty texts stay. Texts are read whole, a row for each line. An empty table gives an empty result. Other columns pass
-through packed in a struct, so their names cannot clash with internal ones; n_lines and n_dropped are replaced.
+through renamed by their place, so their names cannot clash with internal ones; n_lines and n_dropped are replaced.
 """
 
 from __future__ import annotations
@@ -110,13 +110,13 @@ def dropped_lines(docs: DataFrame, min_docs: int, min_tokens: int, constant_shar
 
 def deduplicated(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, constant_share: float = 0.0) -> DataFrame:
     """docs(doc_id, text, ...) -> the same columns, text without the dropped lines, + n_lines, n_dropped."""
-    keep = [c for c in docs.columns if c.lower() not in ADDED]
-    rest = F.struct(*[F.col(f"`{c}`") for c in keep if c.lower() != "text"])
-    d = docs.select(rest.alias("rest"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("doc_id", "text").alias("k"))
+    keep = {c: f"in{i}" for i, c in enumerate(docs.columns) if c.lower() not in ADDED}
+    rest = [v for c, v in keep.items() if c.lower() != "text"]
+    d = docs.select(*[F.col(f"`{c}`").alias(v) for c, v in keep.items() if v in rest], F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("doc_id", "text").alias("k"))
     drops = dropped_lines(d.select(*ROW, "text").filter("text IS NOT NULL"), min_docs, min_tokens, constant_share)
     ls = F.split("text", "\n")
     left = F.array_except(F.sequence(F.lit(1), F.size(ls)), F.transform("dropped", lambda i: i + 1))
     text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.element_at(ls, i)), "\n"))
-    out = d.join(drops.hint("merge"), same_row(d, drops), "left").select("rest", "text", "dropped")
+    out = d.join(drops.hint("merge"), same_row(d, drops), "left").select(*rest, "text", "dropped")
     counts = (F.when(F.col("text").isNull(), 0).otherwise(F.size(ls)).cast("long").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))
-    return out.select(*[text.alias(c) if c.lower() == "text" else F.col(f"rest.`{c}`").alias(c) for c in keep], *counts)
+    return out.select(*[(F.col(v) if v in rest else text).alias(c) for c, v in keep.items()], *counts)

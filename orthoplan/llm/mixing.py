@@ -10,7 +10,7 @@ each), whatever the ids are, then rows within the smallest block.
 Nulls and ties: a null text has size 0; null is a source of its own (the last one); null ids come first of their size and
 are ordered, as repeated ids are, by a hash of the text. Repeated rows are separate documents, which take neighbouring
 ranks in one task. Texts are read whole, whatever their length. An empty table gives an empty result. The input's columns
-pass through packed in a struct, so their names cannot clash with internal ones; size, source_size, target, copies and
+pass through renamed by their place, so their names cannot clash with internal ones; size, source_size, target, copies and
 taken are replaced.
 """
 
@@ -74,12 +74,18 @@ def starts_of(blocks: DataFrame) -> DataFrame:
     return at.withColumnRenamed("above", "at")
 
 
+def own_names(docs: DataFrame) -> dict[str, str]:
+    """The input's columns by place, in0, in1 and so on: names that no internal column has."""
+    return {c: f"in{i}" for i, c in enumerate(docs.columns)}
+
+
 def ranked(docs: DataFrame, weights: list[int], most: float, seed: int) -> DataFrame:
-    """docs(doc_id, text, source, ...) -> row (all its columns), size, source_size, target, copies, taken."""
+    """docs(doc_id, text, source, ...) -> its columns by own_names(), size, source_size, target, copies, taken."""
+    kept = own_names(docs)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     tie = F.xxhash64("text")  # here, so that a query without texts does not move them
     ident = F.coalesce(F.col("doc_id").cast("long"), tie)
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"), size.alias("size"), F.col("doc_id").isNotNull().alias("known"), ident.alias("ident"), tie.alias("tie"))
+    d = docs.select(*[F.col(f"`{c}`").alias(v) for c, v in kept.items()], F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"), size.alias("size"), F.col("doc_id").isNotNull().alias("known"), ident.alias("ident"), tie.alias("tie"))
     d = d.withColumn("block", F.shiftright("ident", BITS))
     blocks = scratch.written(d.groupBy(*SIZE, "block").agg(F.count("*").alias("n")), "mix-blocks")
     rates = weighted(sizes_of_sources(blocks), weights, most).withColumn("u", offset(seed))
@@ -88,13 +94,13 @@ def ranked(docs: DataFrame, weights: list[int], most: float, seed: int) -> DataF
     out = d.join(starts_of(blocks).join(rates, SOURCE), [*SIZE, "block"]).withColumn("i", rank + F.col("at"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = F.floor(F.col("i") * rate + F.col("u")) - F.floor((F.col("i") - 1) * rate + F.col("u"))
-    return out.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).select("row", *ADDED)
+    return out.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).select(*kept.values(), *ADDED)
 
 
 def mix(docs: DataFrame, weights: list[int] | None = None, most: float = 3.0, seed: int = 9) -> DataFrame:
     """docs(doc_id, text, source, ...) -> the same columns + size, source_size, target, copies, taken."""
     out = ranked(docs, weights or [1, 2, 3], most, seed)
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in ADDED], *ADDED)
+    return out.select(*[F.col(v).alias(c) for c, v in own_names(docs).items() if c.lower() not in ADDED], *ADDED)
 
 
 def sizes_of_sources(blocks: DataFrame) -> DataFrame:
@@ -105,4 +111,5 @@ def sizes_of_sources(blocks: DataFrame) -> DataFrame:
 def drawn(docs: DataFrame, weights: list[int] | None = None, most: float = 3.0, seed: int = 9) -> DataFrame:
     """The mix itself: every document as often as it is drawn, with the columns of docs."""
     m = ranked(docs, weights or [1, 2, 3], most, seed).filter(F.col("copies") > 0)
-    return m.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
+    kept = own_names(docs)
+    return m.select(*kept.values(), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(*[F.col(v).alias(c) for c, v in kept.items()])
