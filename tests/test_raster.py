@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from orthoplan.operators.raster import lines, normalize, png
@@ -100,3 +101,25 @@ def test_line_network_table(spark):
     assert [(r.id, r.line_class) for r in got] == [(f"p1-line{i}", "pipe") for i in range(3)]
     n = normalize.normalized_sheets(s).first()
     assert n.normalization.original_size == [400, 200] and bytes(n.raster) == drawn().tobytes()
+
+
+def test_normalized_sheets_leave_a_worker_in_small_frames():
+    """Eight by four pixels become 400 by 200: a batch of small sheets must not be held whole."""
+
+    class Table:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, rows, _):  # noqa: N802
+            return rows
+
+    rng = np.random.default_rng(0)
+    small = [rng.integers(0, 256, 32, np.uint8).tobytes() for _ in range(300)]
+    rasters = [*small, None, b"\1"]
+    batch = pd.DataFrame({"document": "d", "sheet": range(302), "width": 8, "height": 4, "raster": rasters})
+    frames = list(normalize.normalized_sheets(Table())([batch]))
+    assert max(sum(len(r or b"") for r in f["raster"]) for f in frames) <= 5_000_000
+    out = pd.concat(frames)
+    assert out["sheet"].tolist() == list(range(302))
+    assert out["raster"].tolist()[:300] == [normalize.normalized(np.frombuffer(r, np.uint8).reshape(4, 8))[0].tobytes() for r in small]
+    assert out["raster"].tolist()[300:] == [None, b"\1"]
