@@ -65,15 +65,19 @@ CELL = 64.0
 
 def attach_ends(ends: DataFrame, boxes: DataFrame, tolerance: float = SNAP, by: list[str] | None = None, cell: float = CELL) -> DataFrame:
     """ends(by, run, end, p), boxes(by, terminal, nozzle, bbox) -> the end's first touching box: nozzles of all terminals before
-    any terminal's own box, each in order. Not the nearest one. An end meets the boxes of its grid cell only."""
+    any terminal's own box, each in order. Not the nearest one. Ends at one place are looked up once, equal boxes count as the
+    first of them, and a place meets the boxes of its grid cell only. Ends that share a key share the first of their boxes."""
     by = by or SHEET
     across = lambda low, high: F.sequence(*[F.floor((F.col(f"bbox.{c}") + t) / cell) for c, t in ((low, -tolerance), (high, tolerance))])
-    tiles = boxes.withColumn("gx", F.explode(across("x0", "x1"))).withColumn("gy", F.explode(across("y0", "y1")))
-    placed = ends.withColumn("gx", F.floor(F.col("p.x") / cell)).withColumn("gy", F.floor(F.col("p.y") / cell))
-    hit = placed.join(tiles, [*by, "gx", "gy"]).filter(g.near_box(F.col("p"), F.col("bbox"), tolerance))
-    rank = F.struct(F.col("nozzle").isNull(), "terminal", F.coalesce("nozzle", F.lit(-1)))
-    first = hit.groupBy(*by, "run", "end").agg(F.min_by(F.struct("terminal", "nozzle"), rank).alias("a"))
-    return ends.join(first, [*by, "run", "end"], "left").select(*by, "run", "end", "p", "a.terminal", "a.nozzle")
+    rank = F.struct(F.col("nozzle").isNull().alias("own"), "terminal", "nozzle")
+    tiles = boxes.groupBy(*by, "bbox").agg(F.min(rank).alias("a")).withColumn("gx", F.explode(across("x0", "x1"))).withColumn("gy", F.explode(across("y0", "y1")))
+    placed = ends.withColumn("x", F.col("p.x")).withColumn("y", F.col("p.y"))
+    places = placed.select(*by, "x", "y").distinct().withColumn("gx", F.floor(F.col("x") / cell)).withColumn("gy", F.floor(F.col("y") / cell))
+    hit = places.join(tiles, [*by, "gx", "gy"]).filter(g.near_box(g.point(F.col("x"), F.col("y")), F.col("bbox"), tolerance))
+    first = hit.groupBy(*by, "gx", "gy", "x", "y").agg(F.min("a").alias("a")).drop("gx", "gy")  # by the join's own keys: no further shuffle
+    key = Window.partitionBy(*by, "run", "end")
+    found = placed.join(first, [*by, "x", "y"], "left").withColumn("a", F.min("a").over(key))
+    return found.select(*by, "run", "end", "p", "a.terminal", "a.nozzle")
 
 
 def loose_junctions(ends: DataFrame) -> DataFrame:

@@ -235,3 +235,39 @@ def test_record_files(spark, tmp_path):
     got = records.records(spark, f"file://{folder}/*")
     assert [(r.run, r.sheet, r.readable) for r in got.orderBy("sheet").collect()] == [("run1", 2, True), ("run1", 10, False)]
     assert [(r.kind, r.id, r.sheet) for r in records.detections(got).orderBy("kind_ord").collect()] == [("symbol", "a", 2), ("text", "b", 2)]
+
+
+def test_ends_at_one_place_and_equal_boxes_are_met_once(spark):
+    """2,000 ends at 50 places and 400 boxes of 8 shapes: the joins make rows for places, not for every pair that touches."""
+    from orthoplan.operators import assembly
+
+    ends = [(i % 2, i, 0, (float(i % 50) * 5, float(i % 25) * 3)) for i in range(2000)]
+    ends += [(0, 1, 0, (5000.0, 5000.0)), (1, 9000, 0, (None, 1.0)), (None, None, 0, (1.0, 1.0))]  # a key again elsewhere, no place, no sheet
+    shape = lambda j: (float(j % 8) * 10, 0.0, 120.0 + j % 8 * 10, 60.0)
+    boxes = [(j % 2, 1000 - j // 16, j if j % 16 > 9 else None, shape(j)) for j in range(400)]
+    e = spark.createDataFrame(ends, "sheet int, run int, end int, p struct<x:double,y:double>")
+    b = spark.createDataFrame(boxes, "sheet int, terminal int, nozzle int, bbox struct<x0:double,y0:double,x1:double,y1:double>")
+
+    def touching(sheet, p):
+        return [(n is None, t, -1 if n is None else n) for s, t, n, (x0, y0, x1, y1) in boxes if s == sheet and p[0] is not None and x0 - 2 <= p[0] <= x1 + 2 and y0 - 2 <= p[1] <= y1 + 2]
+
+    hits = {}
+    for s, r, k, p in ends:
+        hits.setdefault((s, r, k), []).extend(touching(s, p))
+    first = {key: min(h)[1:] if h else (None, None) for key, h in hits.items()}
+    want = [(s, r, k, p, first[s, r, k][0], None if first[s, r, k][1] == -1 else first[s, r, k][1]) for s, r, k, p in ends]
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = assembly.attach_ends(e, b, by=["sheet"])
+        rows = [(r.sheet, r.run, r.end, tuple(r.p), r.terminal, r.nozzle) for r in got.collect()]
+        made, todo = 0, [got._jdf.queryExecution().executedPlan()]
+        while todo:
+            node = todo.pop()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+            if "Join" in node.nodeName():
+                made += node.metrics().apply("numOutputRows").value()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sorted(rows, key=str) == sorted(want, key=str)
+    assert len(ends) <= made <= len(ends) + 2 * 50 * 8
