@@ -76,7 +76,7 @@ def templates(docs: DataFrame, units: DataFrame, min_docs: int, constant_share:
     """units(h, h2, leaf, docs, first, rep) -> h, h2, docs, first of its template, for the forms of leaves that hold several."""
     leaves = units.groupBy("leaf").agg(F.count("*").alias("forms"), F.sum("docs").alias("d")).filter(f"forms > 1 AND d >= {min_docs}")
     leaves = leaves.select("leaf", F.greatest(F.lit(float(min_docs)), F.col("d") * constant_share).alias("least"))
-    pending = scratch.written(units.join(leaves, "leaf"), "pending-forms")
+    pending = units.join(leaves, "leaf")
     places = pending.groupBy(F.col("rep.doc_id").alias("doc_id"), F.col("rep.k").alias("k")).agg(F.collect_list(F.struct(*FORM, "leaf", "least", "docs", F.col("rep.idx").alias("idx"))).alias("p"))
     text_lines = docs.select(*ROW, F.split("text", "\n").alias("ls"))
     found = text_lines.join(places.hint("merge"), same_row(text_lines, places)).select("ls", F.explode("p").alias("p"))
@@ -89,8 +89,8 @@ def templates(docs: DataFrame, units: DataFrame, min_docs: int, constant_share:
     t, t2 = named("leaf", "ts")
     shared = F.col("share") >= SHARE
     of = own.select(*FORM, F.when(shared, t).otherwise(F.col("h")).alias("tid"), F.when(shared, t2).otherwise(F.col("h2")).alias("tid2"))
-    of = scratch.written(of.join(pending.select(*FORM, "docs", "first"), FORM), "templates")
-    scratch.removed(docs.sparkSession, pending, tokens)
+    of = scratch.written(of.join(units.select(*FORM, "docs", "first"), FORM), "templates")
+    scratch.removed(docs.sparkSession, tokens)
     groups = of.groupBy("tid", "tid2").agg(F.sum("docs").alias("docs"), F.min("first").alias("first"))
     return of.select(*FORM, "tid", "tid2").join(groups, ["tid", "tid2"]).select(*FORM, "docs", "first")
 
